@@ -41,6 +41,29 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def _nearest_integer(value: Column, scale: float) -> Column:
+    """value * scale to the nearest integer, ties decided on the exact binary value.
+
+    Splitting the value in two halves makes the product exact, so 0.945 (stored slightly
+    below) becomes 94 and not 95 at two decimals; true ties go to the even neighbour.
+    """
+    big = value * F.lit(134217729.0)
+    high = big - (big - value)
+    low = value - high
+    product = value * F.lit(scale)
+    error = (high * F.lit(scale) - product) + low * F.lit(scale)
+    base = F.floor(product).cast("double")
+    over = (product - base - 0.5) + error
+    odd = F.pmod(base, F.lit(2.0)) == 1
+    return base + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(odd.cast("double"))
+
+
+def decimals(value: Column, digits: int = 2, signed: bool = False) -> Column:
+    """Fixed-point text of a double, correctly rounded."""
+    shown = _nearest_integer(value, 10.0 ** digits) / F.lit(10.0 ** digits)
+    return F.format_string(f"%{'+' if signed else ''}.{digits}f", shown)
+
+
 def natural_key(name: Column) -> Column:
     """Sort key that puts 'Property 2' before 'Property 10'."""
     digits = F.regexp_replace(F.lower(name), r"(\d+)", "00000000000000000000$1")
