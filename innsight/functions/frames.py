@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CLUSTER = "cluster_id"
 
@@ -90,7 +91,7 @@ def _staging_folder(df: DataFrame) -> str | None:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write a small table that several branches read to the shared checkpoint folder.
 
     A written table cuts lineage, survives lost executors, is computed once, and gives later
@@ -103,7 +104,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/innsight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:

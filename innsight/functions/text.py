@@ -328,15 +328,15 @@ def ngram_features(text: Column) -> Column:
             lambda p: p["b"].isNotNull()),
         lambda p: F.concat(F.lit("w:"), p["a"], F.lit(" "), p["b"]))
 
+    def grams_of(padded: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
+        return F.when(
+            F.length(padded) >= n,
+            F.transform(starts, lambda i: F.concat(F.lit("c:"), F.substr(padded, i, F.lit(n)))),
+        ).otherwise(F.array().cast("array<string>"))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        sized = [
-            F.when(F.length(padded) >= n, F.transform(
-                F.sequence(F.lit(1), F.length(padded) - (n - 1)),
-                lambda i, n=n: F.concat(F.lit("c:"), F.substr(padded, i, F.lit(n)))))
-            .otherwise(F.array().cast("array<string>"))
-            for n in range(lo, hi + 1)
-        ]
-        return F.concat(*sized)
+        return F.concat(*[grams_of(padded, n) for n in range(lo, hi + 1)])
 
     return F.concat(unigrams, bigrams, F.flatten(F.transform(words, grams)))
