@@ -195,7 +195,8 @@ def bh_qvalues(
 def _windowed_q(df: DataFrame, p: str, family: Sequence[str], out: str) -> DataFrame:
     tested = F.col(p).isNotNull()
     fam = Window.partitionBy(*family, tested)
-    later = fam.orderBy("_rk").rowsBetween(0, Window.unboundedFollowing)
+    # Descending with a growing frame: linear, where "current row to end" is quadratic.
+    later = fam.orderBy(F.col("_rk").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("_rk", F.row_number().over(fam.orderBy(p)))
         .withColumn("_adj", F.col(p) * F.count(F.lit(1)).over(fam) / F.col("_rk"))
@@ -210,8 +211,8 @@ def _bucketed_q(df: DataFrame, p: str, family: Sequence[str], out: str) -> DataF
     ranked = counts_up_to(base.where(F.col(p).isNotNull()).select(*keys, p), p, keys)
     ranked = ranked.withColumn("_adj", F.col(p) * F.col("size") / F.col("rank"))
     bucket_min = ranked.groupBy(*keys, "bucket").agg(F.min("_adj").alias("_low")).withColumn(
-        "_later", F.min("_low").over(Window.partitionBy(*keys).orderBy("bucket")
-                                     .rowsBetween(1, Window.unboundedFollowing)))
+        "_later", F.min("_low").over(Window.partitionBy(*keys).orderBy(F.col("bucket").desc())
+                                     .rowsBetween(Window.unboundedPreceding, -1)))
     onwards = (Window.partitionBy(*keys, "bucket").orderBy(F.col(p).desc())
                .rowsBetween(Window.unboundedPreceding, 0))
     table = (

@@ -357,7 +357,7 @@ def b3_q_values(spark, sf_dir):
     """FDR over a column of probabilities taken from the data, one family per ship mode."""
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("family"),
-        (F.col("l_extendedprice") * F.col("l_tax") / 8000.0).alias("p_value"))
+        (F.col("l_extendedprice") * F.col("l_tax") / 8191.0).alias("p_value"))
     return rounded(bh_qvalues(rows.withColumn("p_value", F.least("p_value", F.lit(1.0))),
                               "p_value", ["family"]), "p_value", "q_value")
 
@@ -367,7 +367,7 @@ def b3_q_values_bucketed(spark, sf_dir):
     """The same family sizes through the bucketed path used for very large families."""
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("family"),
-        F.least(F.col("l_extendedprice") * F.col("l_tax") / 8000.0, F.lit(1.0))
+        F.least(F.col("l_extendedprice") * F.col("l_tax") / 8191.0, F.lit(1.0))
         .alias("p_value"))
     return rounded(bh_qvalues(rows, "p_value", ["family"], window_rows=0), "p_value", "q_value")
 
@@ -675,7 +675,13 @@ def f4_detected_starts(spark, sf_dir):
 @query
 def f6_fix_check_grid(spark, sf_dir):
     rows = intervention.fix_check_grid(planted_monthly(spark, sf_dir))
-    return rounded(rows, "p_value")
+    return rounded(rows.drop("ci_low", "ci_high", "summary"), "p_value")
+
+
+@query
+def f5_fix_check_summaries(spark, sf_dir):
+    return intervention.fix_check_grid(planted_monthly(spark, sf_dir)).select(
+        "property_id", "aspect", "start", "ci_low", "ci_high", "summary")
 
 
 # --- S: decisions ------------------------------------------------------------------------------------------------
