@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -107,6 +107,14 @@ def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFra
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stage`` and the row count, observed while writing."""
+    if _staging_folder(df) is None:
+        return df, df.count()
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables staged by this process; call it when their readers are done."""
     jvm, count = spark._jvm, 0

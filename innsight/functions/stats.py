@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.functions.frames import largest_group, stage
+from innsight.functions.frames import largest_group, stage_counted
 
 # A family up to this many rows is ranked by one sorted window; larger ones are bucketed.
 WINDOW_FAMILY_ROWS = 500_000
@@ -178,16 +178,20 @@ def bh_qvalues(
     p: str = "p_value",
     family: Sequence[str] = (),
     out: str = "q_value",
-    window_rows: int = WINDOW_FAMILY_ROWS,
+    window_rows: int | None = WINDOW_FAMILY_ROWS,
 ) -> DataFrame:
     """Benjamini-Hochberg q-values within ``family``; rows with a null p are not counted.
 
-    The tested rows are staged (they are read twice) and the largest family is counted. Up
-    to ``window_rows`` one sorted window per family does it; beyond that, ranks and the
-    reverse running minimum are bucketed (see ``counts_up_to``). Both are exact.
+    The tested rows are staged (they are read twice) and counted on the way. Up to
+    ``window_rows`` one sorted window per family does it; beyond that, ranks and the reverse
+    running minimum are bucketed (see ``counts_up_to``). Both are exact. ``None`` states
+    that the families are bounded by the taxonomy (aspects x calendar months).
     """
-    staged = stage(df, "tests")
-    if largest_group(staged, family) <= window_rows:
+    if window_rows is None:
+        return _windowed_q(df, p, family, out)
+    staged, rows = stage_counted(df, "tests")
+    if rows <= window_rows or (window_rows > 0 and
+                               largest_group(staged, family) <= window_rows):
         return _windowed_q(staged, p, family, out)
     return _bucketed_q(staged, p, family, out)
 

@@ -24,6 +24,11 @@ WORD_CHAR = "\\p{L}\\p{N}_"
 CUT, TURN = "﷐", "﷑"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_array(values: Sequence[str]) -> Column:
     return F.lit(list(values)) if values else F.array().cast("array<string>")
 
@@ -243,10 +248,10 @@ def rule_sentiment(
 
     zero = F.lit(0)
     # A clause with no scoring word keeps the phrase score: skip the fold.
-    walked = F.when(
-        F.exists(coded, lambda c: F.abs(c) == 1),
-        F.aggregate(coded, state(zero, zero, zero, zero), step, lambda acc: acc["total"]),
-    ).otherwise(0)
+    walked = bind(coded, lambda codes: F.when(
+        F.exists(codes, lambda c: F.abs(c) == 1),
+        F.aggregate(codes, state(zero, zero, zero, zero), step, lambda acc: acc["total"]),
+    ).otherwise(0))
     return F.signum((score + walked).cast("double")).cast("int")
 
 
@@ -318,15 +323,7 @@ def clean_social(text: Column) -> Column:
 
 def ngram_features(text: Column) -> Column:
     """Word 1-2-grams (``w:``) and within-word character 2-5-grams (``c:``)."""
-    words = tokenise(normalise(F.coalesce(text, F.lit(""))))
     lo, hi = config.CHAR_NGRAMS
-    unigrams = F.transform(words, lambda w: F.concat(F.lit("w:"), w))
-    bigrams = F.transform(
-        F.filter(
-            F.transform(words, lambda w, i: F.struct(
-                w.alias("a"), F.try_element_at(words, i + 2).alias("b"))),
-            lambda p: p["b"].isNotNull()),
-        lambda p: F.concat(F.lit("w:"), p["a"], F.lit(" "), p["b"]))
 
     def grams_of(padded: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
@@ -337,6 +334,13 @@ def ngram_features(text: Column) -> Column:
 
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.concat(*[grams_of(padded, n) for n in range(lo, hi + 1)])
+        return bind(padded, lambda p: F.concat(*[grams_of(p, n) for n in range(lo, hi + 1)]))
+
+    def features(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)),
+                           lambda a, b: F.concat(F.lit("w:"), a, F.lit(" "), b))
+        return F.concat(
+            F.transform(words, lambda w: F.concat(F.lit("w:"), w)),
+            F.array_compact(pairs), F.flatten(F.transform(words, grams)))
 
-    return F.concat(unigrams, bigrams, F.flatten(F.transform(words, grams)))
+    return bind(tokenise(normalise(F.coalesce(text, F.lit("")))), features)

@@ -226,8 +226,8 @@ def coverage_counters(gold: DataFrame, pred: DataFrame) -> DataFrame:
         F.max("lab").alias("lab"), F.max("skip").alias("skip"), F.max("pred").alias("pred"))
     return per_review.agg(
         F.sum("lab").alias("n_reviews"), F.sum("skip").alias("n_unlabelled_skipped"),
-        F.count_if("lab = 1 and pred = 0").alias("n_missing_predictions"),
-        F.count_if("lab = 0 and pred = 1").alias("n_predictions_without_gold"))
+        F.count_if((F.col("lab") == 1) & (F.col("pred") == 0)).alias("n_missing_predictions"),
+        F.count_if((F.col("lab") == 0) & (F.col("pred") == 1)).alias("n_predictions_without_gold"))
 
 
 def macro_f1_interval(cells: DataFrame, keys: list[str], n_boot: int = 500,

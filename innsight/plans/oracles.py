@@ -685,9 +685,10 @@ CTES["windows"] = """select a.*, baseline from adjusted a join (select distinct
 CTES["window_splits"] = _splits("windows", "property_id, aspect, baseline")
 CTES["window_best"] = _best("window_splits", "property_id, aspect, baseline", 2, 10)
 CTES["grid_checks"] = f"""select b.*, coalesce(r.n1, 0)::bigint as n_before, coalesce(r.n2, 0)::bigint as n_after,
-    coalesce(mo1, 0)::bigint as months_before, coalesce(mo2, 0)::bigint as months_after,
+    coalesce(r.mo1, 0)::bigint as months_before, coalesce(r.mo2, 0)::bigint as months_after,
     g.delta, g.raw_delta, g.se, g.dof, g.rnk, g.members_, g.raw1 / g.n1 as before_mean,
-    g.raw2 / g.n2 as after_mean, least(1.0, 2 * {t_tail('(abs(g.delta) / g.se)', 'g.dof')}) as p,
+    g.raw2 / g.n2 as after_mean, case when g.delta is not null then
+    least(1.0, 2 * {t_tail('(abs(g.delta) / g.se)', 'g.dof')}) end as p,
     strftime(w.month, '%Y-%m') as detected from baselines b
     left join grid_rows r using (property_id, aspect, start, baseline)
     left join grid_shifts g using (property_id, aspect, start, baseline)
