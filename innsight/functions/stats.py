@@ -34,7 +34,7 @@ def _upper_tail(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     log_const = np.array([[math.lgamma((d + 1.0) / 2.0) - math.lgamma(d / 2.0)] for d in dof])
     density = np.exp(log_const - 0.5 * np.log(np.pi * v) + power * np.log1p(a * a / v))
     tail = (ratio * _WEIGHTS).sum(axis=1) * (scale * density)[:, 0]
-    return np.where(t > 0, tail, 1.0 - tail)
+    return np.where(t == 0, 0.5, np.where(t > 0, tail, 1.0 - tail))
 
 
 def student_tail(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
