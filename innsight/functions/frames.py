@@ -30,6 +30,26 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner
     return df.join(small if CLUSTER in on else F.broadcast(small), list(on), how)
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a plain scan of few splits over all cores before heavy per-row work.
+
+    A small file is often one row group, so one task gets every row however the file is
+    split. Scans with several splits per core, as any large table has, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
+
+
+def unnest(df: DataFrame, keep: Sequence[str], array: Column) -> DataFrame:
+    """One row per struct in ``array``, with ``keep``; empty and null arrays give none.
+
+    The outer form keeps the optimizer from adding a "not empty" filter, which would be
+    pushed down and compute an expensive array expression once more per condition.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias("_x"))
+    return rows.where(F.col("_x").isNotNull()).select(*keep, "_x.*")
+
+
 def month_of(date: Column) -> Column:
     return F.trunc(date.cast("date"), "MM")
 

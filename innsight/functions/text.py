@@ -248,10 +248,11 @@ def rule_sentiment(
 
     zero = F.lit(0)
     # A clause with no scoring word keeps the phrase score: skip the fold.
-    walked = bind(coded, lambda codes: F.when(
-        F.exists(codes, lambda c: F.abs(c) == 1),
-        F.aggregate(codes, state(zero, zero, zero, zero), step, lambda acc: acc["total"]),
-    ).otherwise(0))
+    scoring = literal_array([*words["positive"], *words["negative"]])
+    walked = F.when(
+        F.arrays_overlap(tokens, scoring),
+        F.aggregate(coded, state(zero, zero, zero, zero), step, lambda acc: acc["total"]),
+    ).otherwise(0)
     return F.signum((score + walked).cast("double")).cast("int")
 
 
@@ -274,7 +275,7 @@ def aspect_clauses(norm: Column, aspects: dict[str, list[str]]) -> Column:
 
     def cue(p: Column) -> Column:
         return F.struct(p["clause"].alias("clause"), p["tokens"].alias("tokens"),
-                        F.filter(p["tokens"], lambda t: F.array_contains(cues, t)).alias("cues"))
+                        F.array_intersect(p["tokens"], cues).alias("cues"))
 
     def own(p: Column) -> Column:
         return F.struct(p["clause"].alias("clause"), p["tokens"].alias("tokens"),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from innsight import config
 from innsight.functions import text as tx
-from innsight.functions.frames import scope, stage
+from innsight.functions.frames import scope, stage, unnest
 
 BatchScorer = Callable[[list[str]], Sequence[int]]
 
@@ -40,8 +40,7 @@ def label_reviews(reviews: DataFrame, aspects: dict[str, list[str]] | None = Non
     ``sentiment`` replaces the lexicon rule by any Column function of (clause, tokens).
     """
     keep = [*scope(reviews), "review_id", "property_id", "date"]
-    rows = mention_arrays(reviews, aspects, lexicon, sentiment)
-    return rows.select(*keep, F.explode("mentions").alias("_m")).select(*keep, "_m.*")
+    return unnest(mention_arrays(reviews, aspects, lexicon, sentiment), keep, F.col("mentions"))
 
 
 def aspect_clauses(reviews: DataFrame,
@@ -49,8 +48,7 @@ def aspect_clauses(reviews: DataFrame,
     """One row per clause that carries an aspect, with its aspects, not yet scored."""
     keep = [*scope(reviews), "review_id", "property_id", "date"]
     clauses = tx.aspect_clauses(tx.normalise(F.col("text")), aspects or config.ASPECTS)
-    return reviews.select(*keep, F.explode(clauses).alias("_c")).select(
-        *keep, "_c.clause", "_c.aspects")
+    return unnest(reviews, keep, clauses).select(*keep, "clause", "aspects")
 
 
 def score_clauses(clauses: DataFrame, scorer: BatchScorer, batch_size: int = 1024) -> DataFrame:
@@ -95,5 +93,4 @@ def classify_text(spark, text: str | None,
     if text is not None and not isinstance(text, str):
         raise ValueError(f"text must be a string, got {type(text).__name__}")
     one = spark.range(1).select(F.lit(text).cast("string").alias("text"))
-    return one.select(F.explode(tx.text_mentions(F.col("text"), aspects)).alias("_m")).select(
-        "_m.*")
+    return unnest(one, [], tx.text_mentions(F.col("text"), aspects))

@@ -6,10 +6,11 @@ tables derived from it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.functions.frames import month_of, natural_key, scope
+from innsight.functions.frames import month_of, natural_key, scope, unnest
+from innsight.functions.text import bind
 
 SERIES = ["property_id", "aspect"]
 
@@ -37,18 +38,19 @@ def review_units(mentions: DataFrame) -> DataFrame:
 
 def units_from_array(labelled: DataFrame, mentions: str = "mentions") -> DataFrame:
     """Units straight from one row per review with its mention array: no shuffle at all."""
-    per_aspect = F.transform(
-        F.array_distinct(F.transform(F.col(mentions), lambda m: m["aspect"])),
-        lambda a: F.struct(
-            a.alias("aspect"),
-            F.aggregate(F.filter(F.col(mentions), lambda m: m["aspect"] == a), F.lit(0).cast("long"),
-                        lambda acc, m: acc + m["sentiment"].cast("long")).alias("total"),
-            F.size(F.filter(F.col(mentions), lambda m: m["aspect"] == a)).cast("long")
-            .alias("mentions")))
+    def per_aspect(found: Column) -> Column:
+        def unit(name: Column) -> Column:
+            own = F.filter(found, lambda m: m["aspect"] == name)
+            total = F.aggregate(own, F.lit(0).cast("long"),
+                                lambda acc, m: acc + m["sentiment"].cast("long"))
+            return F.struct(name.alias("aspect"), total.alias("total"),
+                            F.size(own).cast("long").alias("mentions"))
+        return F.transform(F.array_distinct(F.transform(found, lambda m: m["aspect"])), unit)
+
     keep = [*scope(labelled), "review_id", "property_id", "date"]
     return (
-        labelled.select(*keep, F.explode(per_aspect).alias("_u"))
-        .select(*keep, F.col("_u.aspect"), F.col("_u.total"), F.col("_u.mentions"))
+        unnest(labelled.withColumnRenamed(mentions, "_mentions"), keep,
+               bind(F.col("_mentions"), per_aspect))
         .withColumn("value", F.col("total") / F.col("mentions"))
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.functions.frames import spread_scan
+
 # A small taxonomy and lexicon of words that do occur in the generated documents.
 TEST_ASPECTS = {
     "Article": ["the", "des", "die"],
@@ -94,7 +96,7 @@ def mentions_planted(spark: SparkSession, sf_dir: str, by_region: bool = False)
 
 def reviews_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews: a source is a property, a language a platform."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_scan(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("property_id"),
         F.col("lang").alias("platform"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from innsight import config
 from innsight.functions import geo
 from innsight.functions import text as tx
-from innsight.functions.frames import natural_key, stage
+from innsight.functions.frames import natural_key, spread_scan, stage
 from innsight.functions.stats import bh_qvalues, wilson, with_t_tests
 from innsight.operators import (
     benchmark,
@@ -197,21 +197,21 @@ def i14_clean_social(spark, sf_dir):
 
 @query
 def t1_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", tx.normalise(F.col("text")).alias("norm"))
 
 
 @query
 def t2_clauses(spark, sf_dir):
     noisy = F.concat(F.col("text"), F.lit(" but however or lekin "), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(
+    return spread_scan(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(
         tx.split_clauses(tx.normalise(noisy))).alias("pos", "_c")).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), "_c.clause", "_c.after_contrast")
 
 
 @query
 def t3_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(
+    return spread_scan(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(
         tx.split_sentences(tx.normalise(F.col("text")))).alias("pos", "sentence")).withColumn(
         "pos", F.col("pos").cast("long"))
 
@@ -219,7 +219,7 @@ def t3_sentences(spark, sf_dir):
 @query
 def t4_tokens(spark, sf_dir):
     tokens = tx.tokenise(tx.normalise(F.col("text")))
-    return table(spark, sf_dir, "documents").select(
+    return spread_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", F.size(tokens).cast("long").alias("n_tokens"),
         F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
 
@@ -942,7 +942,7 @@ def e9_detection_rates(spark, sf_dir):
 
 
 def _training_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_scan(table(spark, sf_dir, "documents"))
     marks = table(spark, sf_dir, "labels")
     label = F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 1).otherwise(0)
     return docs.join(marks, "doc_id").select(
@@ -952,7 +952,7 @@ def _training_rows(spark, sf_dir):
 
 @query
 def l1_features(spark, sf_dir):
-    counts = learn.term_counts(table(spark, sf_dir, "conversations").select(
+    counts = learn.term_counts(spread_scan(table(spark, sf_dir, "conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), "text"))
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
                                       F.sum("cnt").alias("total"))
@@ -960,7 +960,7 @@ def l1_features(spark, sf_dir):
 
 @query
 def l2_corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread_scan(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), "text", F.lit(0).alias("label"),
         F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "dev")
         .otherwise("test").alias("split"), F.col("lang").alias("source"),
@@ -982,7 +982,7 @@ def l3_stratified_splits(spark, sf_dir):
 
 @query
 def l4_tfidf_terms(spark, sf_dir):
-    texts = table(spark, sf_dir, "conversations").select(
+    texts = spread_scan(table(spark, sf_dir, "conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     counts = stage(learn.term_counts(texts), "terms")
     vocab = stage(learn.vocabulary(counts, texts.count(), max_features=5000), "vocab")

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from innsight import config
-from innsight.functions.frames import scope
+from innsight.functions.frames import scope, unnest
 from innsight.functions.text import text_mentions
 
 
@@ -38,8 +38,8 @@ def label_stream(reviews: DataFrame, aspects: dict[str, list[str]] | None = None
         F.array(F.struct(F.lit(None).cast("string").alias("aspect"),
                          F.lit(None).cast("int").alias("sentiment"),
                          F.lit(None).cast("string").alias("sentence"))))
-    return judged.select(*keep, "rejected", F.explode(found).alias("_m")).select(
-        *keep, "_m.*", "rejected")
+    return unnest(judged, [*keep, "rejected"], found).select(
+        *keep, "aspect", "sentiment", "sentence", "rejected")
 
 
 def start_labelling(labelled: DataFrame, out: str, checkpoint: str,
