@@ -126,13 +126,9 @@ def _mentions_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def normalise_words(value: str) -> str:
-    """The same rule for one configuration entry (cue lists), on the driver."""
-    text = unicodedata.normalize("NFC", value).lower()
-    for symbol, word in config.EMOJI_WORDS.items():
-        text = text.replace(symbol, word)
-    text = re.sub("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in config.EMOJI_RANGES) + "]",
-                  " ", text)
-    return " ".join(config.SPELLING.get(w, w) for w in text.split())
+    """The same form for a configured cue, on the driver (cues hold no emoji)."""
+    words = unicodedata.normalize("NFC", value.lower()).split()
+    return " ".join([config.SPELLING.get(word, word) for word in words])
 
 
 def mark_clauses(text: Column) -> Column:

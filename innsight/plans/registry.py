@@ -993,14 +993,14 @@ def l4_tfidf_terms(spark, sf_dir):
 @query
 def l4_train(spark, sf_dir):
     rows = learn.stratified_splits(_training_rows(spark, sf_dir))
-    _, tuning = learn.train(rows, max_iter=20, max_features=20_000)
+    _, tuning = learn.train(rows, max_iter=10, max_features=20_000)
     return tuning
 
 
 @query
 def l5_score_texts(spark, sf_dir):
     rows = stage(learn.stratified_splits(_training_rows(spark, sf_dir)), "rows")
-    model, _ = learn.train(rows, c_grid=(1.0,), max_iter=20, max_features=20_000)
+    model, _ = learn.train(rows, c_grid=(1.0,), max_iter=10, max_features=20_000)
     return learn.score_texts(rows.where("split = 'test'").select("id", "text"), model)
 
 

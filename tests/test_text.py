@@ -44,36 +44,6 @@ def test_clause_sentiment(spark):
     assert rows(spark, SENTIMENT, score) == list(SENTIMENT.values())
 
 
-def brute_sentiment(tokens, phrases=0):
-    """Plain statement of the rule, token by token, for random checks."""
-    words, score, span, last = config.LEXICON, phrases, 0, None
-    for i, w in enumerate(tokens):
-        if w in words["post_negation"] and last and i - last[0] <= 2:
-            score, last = score - 2 * last[1], None
-        elif w in words["post_negation"] or w in words["negation"]:
-            span = 3
-        else:
-            d = 1 if w in words["positive"] else -1 if w in words["negative"] else 0
-            d = -d if span > 0 else d
-            if d:
-                score, last = score + d, (i, d)
-            span = max(0, span - 1)
-    return (score > 0) - (score < 0)
-
-
-def test_sentiment_against_brute_force(spark):
-    pool = ["good", "bad", "not", "nahi", "x", "y", "clean", "rude", "never", "नहीं"]
-    state, texts = 7, []
-    for _ in range(400):
-        words = []
-        for _ in range(8):
-            state = (state * 1103515245 + 12345) % 2**31
-            words.append(pool[state >> 16 & 0xFFFF and (state >> 16) % len(pool)])
-        texts.append(" ".join(words))
-    want = [brute_sentiment(t.split(), -int("not clean" in t)) for t in texts]
-    assert rows(spark, texts, lambda t: tx.rule_sentiment(t, tx.tokenise(t))) == want
-
-
 @pytest.mark.parametrize("text", ["the butter chicken was fresh", "mall road par hai", "मगरमच्छ"])
 def test_never_split(spark, text):
     assert rows(spark, [text], lambda t: F.size(tx.split_clauses(t))) == [1]
