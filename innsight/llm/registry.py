@@ -8,6 +8,7 @@ from innsight.llm.mixing import OP7_SQL, op7_mix_sources
 from innsight.llm.pii import op1_personal_data
 from innsight.llm.quality import op5_quality
 from innsight.llm.sentencepiece_bpe import op10_sentencepiece
+from innsight.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from innsight.llm.toxicity import op2_toxicity
 from innsight.llm.vantage_point import OP6_SQL, op6_nearest_vectors
 
@@ -19,7 +20,8 @@ QUERIES = {
     "op6_nearest_vectors": op6_nearest_vectors,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES = {"op6_nearest_vectors": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op9_substring_dedup": OP9_SQL, "op6_nearest_vectors": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
