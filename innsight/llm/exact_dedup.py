@@ -15,10 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.llm.common import SPACE, shared_folder, text_or_empty, written
-
-#: A digest with more than this share of a batch's rows is resolved by a broadcast of
-#: fewer than 1 / HEAVY_SHARE rows instead of a shuffle.
-HEAVY_SHARE = 1 / 500
+from innsight.llm.components import attach
 
 _SCHEMA = "digest BINARY, keep_id BIGINT"
 
@@ -100,7 +97,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, carry: tuple[str, ...] = ()
         "digest", "group_size", F.when(F.col("seen"), F.col("seen_id")).otherwise(F.col("first_id")).alias("keep_id"),
         F.when(F.col("seen"), F.lit(-1)).otherwise(F.col("first_row")).alias("keep_row"),
     )
-    out = _attach(own, decided).select(
+    out = attach(own, written(decided, "digest-decided"), "digest", "group_size").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256",
         *[F.col("carried")[c].alias(c) for c in carry],
     )
@@ -108,17 +105,6 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, carry: tuple[str, ...] = ()
     return out
 
 
-def _attach(own: DataFrame, decided: DataFrame) -> DataFrame:
-    """Give each row its group's decision; heavy groups don't travel by digest."""
-    decided = written(decided, "digest-decided")
-    rows = decided.agg(F.sum("group_size")).first()[0] or 0
-    heavy = decided.where(F.col("group_size") > max(1, rows * HEAVY_SHARE))  # under 1 / HEAVY_SHARE rows
-    light = decided.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    by_broadcast = own.join(F.broadcast(heavy), "digest")
-    by_shuffle = own.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light, "digest")
-    return by_broadcast.unionByName(by_shuffle)
-
-
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as one batch against a new index."""
     index = DigestIndex.open(spark, f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from innsight.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from innsight.llm.language_id import op4_language_id
 from innsight.llm.mixing import OP7_SQL, op7_mix_sources
+from innsight.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from innsight.llm.pii import op1_personal_data
 from innsight.llm.quality import op5_quality
 from innsight.llm.sentencepiece_bpe import op10_sentencepiece
@@ -15,6 +16,7 @@ from innsight.llm.vantage_point import OP6_SQL, op6_nearest_vectors
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op6_nearest_vectors": op6_nearest_vectors,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES = {"op9_substring_dedup": OP9_SQL, "op6_nearest_vectors": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op3_ngram_jaccard": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op6_nearest_vectors": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
