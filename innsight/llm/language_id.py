@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, id_remainder, text_or_empty
+from innsight.llm.common import documents, id_remainder, numbered, text_or_empty
 
 #: Bytes of training text in a dictionary; the models are this bounded sample, nothing more.
 DICTIONARY_BYTES = 192 << 10
@@ -95,7 +95,7 @@ def _encoder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """doc_id, lang_pred, score, margin and accepted for every row of ``docs``; whole texts are encoded.
+    """doc_id, lang_pred, score, margin and accepted for every row of ``docs``, and ``row`` if ``docs`` has it.
 
     Defined cases: a null or empty text, or one without a letter, is ``und``, score 0, not
     accepted; equal sizes go to the first language by code point and have margin 0, so they aren't
@@ -109,13 +109,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         for batch in batches:
             decided = [classifier.decide(text.as_py()) for text in batch.column(1)]
             lang, score, margin = zip(*decided, strict=True) if decided else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())],
-                ["doc_id", "lang_pred", "score", "margin"],
-            )
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[2:]], ["doc_id", "lang_pred", "score", "margin", *rows])
 
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
-    out = own.mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double")
+    rows = ["row"] if "row" in docs.columns else []
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"), *[docs[c].cast("bigint") for c in rows])
+    out = own.mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double" + ", row bigint" * len(rows))
     return out.withColumn("accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= min_margin))
 
 
@@ -125,6 +124,14 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return own.where(id_remainder(F.col("doc_id"), 4) != 2)
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose language is told with enough margin, learned from their own labels."""
+    rows = numbered(docs)
+    dictionaries = train_dictionaries(training_rows(docs))
+    told = identify(rows.select("row", "document.doc_id", "document.text"), dictionaries).where("accepted")
+    return rows.join(told.select("row"), "row", "left_semi").select("document.*")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four remainders."""
     docs = documents(spark, sf_dir)

@@ -18,11 +18,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, text_or_empty, written
+from innsight.llm.common import documents, numbered, text_or_empty, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 _HASH_SPAN = 1 << 48
 
 
@@ -67,13 +67,13 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Each document with its size, target and ``sent``: the words its source has sent with it in one epoch."""
     own = written(
         docs.select(
             docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"),
             word_count(text_or_empty(docs)).alias("size"), queue_hash(docs["doc_id"]).alias("h"),
-            F.struct(*[docs[c] for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
+            docs["row"].alias("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row"),
         ).withColumn("key", _source_key(F.col("source"))),
         "mix-sizes",
     )
@@ -91,7 +91,7 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str
     # id and size decide among equal hashes: rows equal in both are interchangeable
     inside = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.withColumn("inside", F.sum("size").over(inside)).join(starts, ["key", "part"])
-    return own.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("start") + F.col("inside")).alias("sent"), "carried")
+    return own.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("start") + F.col("inside")).alias("sent"), "row")
 
 
 def order_key(epoch: Column) -> Column:
@@ -148,8 +148,8 @@ def taken_epochs(queue: DataFrame) -> DataFrame:
     return queue.withColumn("epochs", F.array_compact(F.array(*fits)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The mix: one row per taken copy, with doc_id, source, size, target, epoch, finish and ``carry``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mix: one row per taken copy, with doc_id, source, size, source_size, target, epoch, finish and row.
 
     Sort by ``place`` for the sequence itself. Copies are taken in that order while their words
     fit in the budget. Defined cases: a null text has size 0; a document without words is
@@ -157,15 +157,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, .
     doc_id is an id before all others; rows equal in source, id and size are interchangeable and
     taken alike; an empty table gives no rows. Other columns are left out.
     """
-    queue = taken_epochs(written(queued(docs, weights, carry), "mix-queue"))
+    queue = taken_epochs(written(queued(docs, weights), "mix-queue"))
     copies = queue.select("*", F.explode("epochs").alias("epoch"))
     place = order_key(F.col("epoch"))
     return copies.select(
-        "doc_id", "source", "size", "source_size", "target", "epoch", place.alias("place"), place["finish"].alias("finish"),
-        *[F.col("carried")[c].alias(f"carried_{c}") for c in carry],
+        "doc_id", "source", "size", "source_size", "target", "epoch", place.alias("place"), place["finish"].alias("finish"), "row",
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The taken copies as rows of ``docs``, in no order: a document taken in two epochs is there twice."""
+    rows = numbered(docs)
+    taken = mix(rows.select("row", "document.doc_id", "document.source", "document.text"), weights)
+    return rows.join(taken.select("row"), "row").select("document.*")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document of ``documents``."""
     queue = taken_epochs(written(queued(documents(spark, sf_dir)), "mix-queue"))

@@ -245,9 +245,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), *more,
     )
