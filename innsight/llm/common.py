@@ -40,6 +40,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("document")), "numbered")
 
 
+def row_of(docs: DataFrame, row: str | None) -> Column:
+    """The row number in column ``row``, or a new one, which holds once it is written."""
+    return docs[row].cast("bigint").alias("row") if row else F.monotonically_increasing_id().alias("row")
+
+
 def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 

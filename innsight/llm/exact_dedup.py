@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import SPACE, numbered, shared_folder, text_or_empty, written
+from innsight.llm.common import SPACE, numbered, row_of, shared_folder, text_or_empty, written
 from innsight.llm.components import attach
 
 _SCHEMA = "digest BINARY, keep_id BIGINT"
@@ -65,21 +65,20 @@ class DigestIndex:
         )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, row: str | None = None) -> DataFrame:
     """Deduplicate a batch against itself and ``index``, and append its new texts.
 
     Returns one row per row of ``docs``: doc_id, keep_id, group_size (rows of this batch
-    with that text), kept, text_sha256, and ``row`` if ``docs`` has such a column. The row that
+    with that text), kept, text_sha256, and row if ``row`` names a column of row numbers. The row that
     stays is the one the index holds, else the smallest doc_id of the batch. Defined
     cases: a null text is empty; a null doc_id comes after every other, and keep_id is null
     only if the whole group has none; of rows equal in text and doc_id exactly one is kept;
     an empty batch gives no rows; other columns of ``docs``, whatever their names, are left out.
     """
-    has_row = "row" in docs.columns
     own = docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"),
         F.sha2(normalised(text_or_empty(docs)), 256).alias("text_sha256"),
-        docs["row"].alias("row") if has_row else F.monotonically_increasing_id().alias("row"),
+        row_of(docs, row),
     )
     own = written(own.withColumn("digest", F.unhex("text_sha256")), "digests")
 
@@ -98,7 +97,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         F.when(F.col("seen"), F.lit(-1)).otherwise(F.col("first_row")).alias("keep_row"),
     )
     out = attach(own, written(decided, "digest-decided"), "digest", "group_size").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", *["row"] * has_row
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", *["row"] * bool(row)
     )
     index.append(new)
     return out
@@ -108,7 +107,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row has, by a new index."""
     rows = numbered(docs)
     index = DigestIndex.open(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/digest-index-{uuid.uuid4().hex}")
-    kept = exact_dedup(rows.select("row", "document.doc_id", "document.text"), index).where("kept")
+    kept = exact_dedup(rows.select("row", "document.doc_id", "document.text"), index, "row").where("kept")
     return rows.join(kept.select("row"), "row", "left_semi").select("document.*")
 
 

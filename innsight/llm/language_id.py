@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, id_remainder, numbered, text_or_empty
+from innsight.llm.common import documents, id_remainder, numbered, row_of, text_or_empty
 
 #: Bytes of training text in a dictionary; the models are this bounded sample, nothing more.
 DICTIONARY_BYTES = 192 << 10
@@ -94,8 +94,8 @@ def _encoder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """doc_id, lang_pred, score, margin and accepted for every row of ``docs``, and ``row`` if ``docs`` has it.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, row: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, margin and accepted for every row of ``docs``, and row if ``row`` names a column of row numbers.
 
     Defined cases: a null or empty text, or one without a letter, is ``und``, score 0, not
     accepted; equal sizes go to the first language by code point and have margin 0, so they aren't
@@ -112,8 +112,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[2:]], ["doc_id", "lang_pred", "score", "margin", *rows])
 
-    rows = ["row"] if "row" in docs.columns else []
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"), *[docs[c].cast("bigint") for c in rows])
+    rows = ["row"] if row else []
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"), *[row_of(docs, row)] * bool(row))
     out = own.mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double" + ", row bigint" * len(rows))
     return out.withColumn("accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= min_margin))
 
@@ -128,7 +128,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose language is told with enough margin, learned from their own labels."""
     rows = numbered(docs)
     dictionaries = train_dictionaries(training_rows(docs))
-    told = identify(rows.select("row", "document.doc_id", "document.text"), dictionaries).where("accepted")
+    told = identify(rows.select("row", "document.doc_id", "document.text"), dictionaries, row="row").where("accepted")
     return rows.join(told.select("row"), "row", "left_semi").select("document.*")
 
 

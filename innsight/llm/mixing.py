@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, numbered, text_or_empty, written
+from innsight.llm.common import documents, numbered, row_of, text_or_empty, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -67,13 +67,13 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, row: str | None = None) -> DataFrame:
     """Each document with its size, target and ``sent``: the words its source has sent with it in one epoch."""
     own = written(
         docs.select(
             docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"),
             word_count(text_or_empty(docs)).alias("size"), queue_hash(docs["doc_id"]).alias("h"),
-            docs["row"].alias("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row"),
+            row_of(docs, row),
         ).withColumn("key", _source_key(F.col("source"))),
         "mix-sizes",
     )
@@ -148,8 +148,9 @@ def taken_epochs(queue: DataFrame) -> DataFrame:
     return queue.withColumn("epochs", F.array_compact(F.array(*fits)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix: one row per taken copy, with doc_id, source, size, source_size, target, epoch, finish and row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, row: str | None = None) -> DataFrame:
+    """The mix: one row per taken copy, with doc_id, source, size, source_size, target, epoch, place, finish
+    and row, the number in column ``row`` if that is given.
 
     Sort by ``place`` for the sequence itself. Copies are taken in that order while their words
     fit in the budget. Defined cases: a null text has size 0; a document without words is
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     doc_id is an id before all others; rows equal in source, id and size are interchangeable and
     taken alike; an empty table gives no rows. Other columns are left out.
     """
-    queue = taken_epochs(written(queued(docs, weights), "mix-queue"))
+    queue = taken_epochs(written(queued(docs, weights, row), "mix-queue"))
     copies = queue.select("*", F.explode("epochs").alias("epoch"))
     place = order_key(F.col("epoch"))
     return copies.select(
@@ -168,7 +169,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The taken copies as rows of ``docs``, in no order: a document taken in two epochs is there twice."""
     rows = numbered(docs)
-    taken = mix(rows.select("row", "document.doc_id", "document.source", "document.text"), weights)
+    taken = mix(rows.select("row", "document.doc_id", "document.source", "document.text"), weights, "row")
     return rows.join(taken.select("row"), "row").select("document.*")
 
 

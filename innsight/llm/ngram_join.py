@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, numbered, slices, text_or_empty, written
+from innsight.llm.common import documents, numbered, row_of, slices, text_or_empty, written
 from innsight.llm.components import attach, connected
 from innsight.llm.word_hashes import Words, words
 
@@ -250,8 +250,8 @@ def links(texts: DataFrame, measured: DataFrame) -> DataFrame:
     return sets.groupBy("cell").applyInPandas(_links_of_cell, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``, and ``row`` if ``docs`` has it.
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``, and row if ``row`` names a column of row numbers.
 
     A component is what links reach: 100 * overlap >= 80 * union of the sets of 5-word shingles. component_id is its
     least doc_id; ``kept`` marks one row of it, that of the least doc_id (of rows that share it, any
@@ -260,9 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     every other, and component_id is null only where a component has no other; repeated rows link
     like others; an empty table gives no rows; other columns are left out.
     """
-    has_row = "row" in docs.columns
     texts = docs.select(
-        docs["row"].alias("row") if has_row else F.monotonically_increasing_id().alias("row"),
+        row_of(docs, row),
         docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"),
     ).withColumn("text_hash", F.xxhash64("text"))
     measured = texts.mapInArrow(_measure, "row bigint, doc_id bigint, text_hash bigint, n_shingles bigint, mark bigint, counts binary")
@@ -282,13 +281,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"))
     alone = rows.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     out = found.unionByName(alone)
-    return out if has_row else out.drop("row")
+    return out if row else out.drop("row")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component."""
     rows = numbered(docs)
-    kept = near_duplicates(rows.select("row", "document.doc_id", "document.text")).where("kept")
+    kept = near_duplicates(rows.select("row", "document.doc_id", "document.text"), "row").where("kept")
     return rows.join(kept.select("row"), "row", "left_semi").select("document.*")
 
 
