@@ -108,7 +108,7 @@ def prefix(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, node, n) for the first n-grams of every set; the token is half of the hash, which only adds to clusters."""
+    """(token, node, n) for the first n-grams of every set."""
     sent = texts.sparkSession.sparkContext.broadcast(sketch)  # 2^SLOT_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +123,10 @@ def _postings(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
                     sizes.append(np.full(len(first), len(grams), np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).astype(np.uint32).view(np.int32)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
                     ["token", "node", "n"])
 
-    return texts.select("text").mapInArrow(run, "token int, node bigint, n int")
+    return texts.select("text").mapInArrow(run, "token bigint, node bigint, n int")
 
 
 def can_link(small: Column, large: Column) -> Column:
