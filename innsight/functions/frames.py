@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,16 +30,6 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner
     return df.join(small if CLUSTER in on else F.broadcast(small), list(on), how)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a plain scan of few splits over all cores before heavy per-row work.
-
-    A small file is often one row group, so one task gets every row however the file is
-    split. Scans with several splits per core, as any large table has, stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
-
-
 def unnest(df: DataFrame, keep: Sequence[str], array: Column) -> DataFrame:
     """One row per struct in ``array``, with ``keep``; empty and null arrays give none.
 
@@ -59,7 +49,10 @@ def month_label(month: Column) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """Rounded to ``digits`` decimals, ties decided on the exact binary value and then to even."""
+    value = value.cast("double")
+    exact = _nearest_integer(value, 10.0 ** digits) / F.lit(10.0 ** digits)
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(exact)
 
 
 def _nearest_integer(value: Column, scale: float) -> Column:
@@ -99,42 +92,36 @@ def taxonomy_rank(aspect: Column, aspects: Sequence[str]) -> Column:
 _STAGED: list[str] = []
 
 
-def _staging_folder(df: DataFrame) -> str | None:
-    spark = df.sparkSession
+def staging_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return None  # a cluster without a shared folder: stay lazy
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="innsight-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by ``drop_staged``."""
+    path = f"{staging_folder(spark)}/innsight-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write a small table that several branches read to the shared checkpoint folder.
 
     A written table cuts lineage, survives lost executors, is computed once, and gives later
-    joins a measured size. On a cluster that names no ``spark.checkpoint.dir`` the lazy frame
-    is returned unchanged; only a local session picks a folder of its own.
+    joins a measured size.
     """
-    folder = _staging_folder(df)
-    if folder is None:
-        return df
-    path = f"{folder}/innsight-{name}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
-    _STAGED.append(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
-def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``stage`` and the row count, observed while writing."""
-    if _staging_folder(df) is None:
-        return df, df.count()
-    seen = Observation(f"rows-{uuid.uuid4().hex}")
-    return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
-
-
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables staged by this process; call it when their readers are done."""
     jvm, count = spark._jvm, 0
@@ -143,9 +130,3 @@ def drop_staged(spark: SparkSession) -> int:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         count += 1
     return count
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key, as one number on the driver."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0

@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.functions.frames import largest_group, stage_counted
-
-# A family up to this many rows is ranked by one sorted window; larger ones are bucketed.
-WINDOW_FAMILY_ROWS = 500_000
+from innsight.functions.frames import stage
 
 # --- tails and quantiles (one Arrow batch of aggregated rows at a time) ------------------
 
@@ -104,9 +101,7 @@ def with_t_tests(
     """Add p_two_sided, p_upper, ci_low, ci_high for rows of (effect, se, dof)."""
     t = t_statistic(F.col(effect), F.col(se))
     df = df.withColumn("p_upper", no_nan(t_upper(t, F.col(dof).cast("double"))))
-    df = df.withColumn("p_two_sided", F.least(
-        F.lit(1.0), 2 * F.when(F.col(effect) >= 0, F.col("p_upper"))
-        .otherwise(1 - F.col("p_upper"))))
+    df = df.withColumn("p_two_sided", no_nan(t_two_sided(t, F.col(dof).cast("double"))))
     df = df.withColumn("_crit", t_quantile(F.lit(0.5 + level / 2), F.col(dof).cast("double")))
     return (
         df.withColumn("ci_low", no_nan(F.col(effect) - F.col("_crit") * F.col(se)))
@@ -147,16 +142,17 @@ def _unit_bucket(value: Column) -> Column:
             .otherwise(F.floor(F.least(value, F.lit(1.0)) * 4096)).cast("int"))
 
 
-def counts_up_to(df: DataFrame, value: str, family: Sequence[str]) -> DataFrame:
+def counts_up_to(df: DataFrame, value: str, family: Sequence[str],
+                 unit: Column | None = None) -> DataFrame:
     """Per distinct (family, value): ``rank`` = rows of the family with a value <= it, and
-    ``size`` = rows of the family. Values lie in [0, 1].
+    ``size`` = rows of the family. Values lie in [0, 1], or ``unit`` maps them there in order.
 
     Equal values collapse first (map-side), then buckets carry the prefix counts, so no
     task ever holds or sorts a whole family.
     """
     family = list(family)
     distinct = (df.groupBy(*family, value).agg(F.count(F.lit(1)).alias("ties"))
-                .withColumn("bucket", _unit_bucket(F.col(value))))
+                .withColumn("bucket", _unit_bucket(F.col(value) if unit is None else unit)))
     in_family = Window.partitionBy(*family)
     buckets = (
         distinct.groupBy(*family, "bucket").agg(F.sum("ties").alias("held"))
@@ -178,22 +174,16 @@ def bh_qvalues(
     p: str = "p_value",
     family: Sequence[str] = (),
     out: str = "q_value",
-    window_rows: int | None = WINDOW_FAMILY_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Benjamini-Hochberg q-values within ``family``; rows with a null p are not counted.
 
-    The tested rows are staged (they are read twice) and counted on the way. Up to
-    ``window_rows`` one sorted window per family does it; beyond that, ranks and the reverse
-    running minimum are bucketed (see ``counts_up_to``). Both are exact. ``None`` states
-    that the families are bounded by the taxonomy (aspects x calendar months).
+    Ranks and the reverse running minimum are bucketed (see ``counts_up_to``), so a family
+    has no size limit; the tested rows are staged, as they are read twice. ``bounded`` states
+    that the families are no larger than the taxonomy (aspects x calendar months), for which one
+    sorted window each is enough. Both are exact.
     """
-    if window_rows is None:
-        return _windowed_q(df, p, family, out)
-    staged, rows = stage_counted(df, "tests")
-    if rows <= window_rows or (window_rows > 0 and
-                               largest_group(staged, family) <= window_rows):
-        return _windowed_q(staged, p, family, out)
-    return _bucketed_q(staged, p, family, out)
+    return _windowed_q(df, p, family, out) if bounded else _bucketed_q(stage(df, "tests"), p, family, out)
 
 
 def _windowed_q(df: DataFrame, p: str, family: Sequence[str], out: str) -> DataFrame:

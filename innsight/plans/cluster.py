@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight import config
-from innsight.functions.frames import natural_key, scope, stage
+from innsight.functions.frames import CLUSTER, natural_key, scope, stage
 from innsight.operators import (
     benchmark,
     changepoint,
@@ -41,6 +42,7 @@ class Cluster:
     locations: DataFrame | None = None
     aspects: dict[str, list[str]] = field(default_factory=lambda: config.ASPECTS)
     permutations: int = config.NEIGHBOURHOOD_PERMUTATIONS
+    label: Callable[[DataFrame], DataFrame] | None = None
     _tables: dict = field(default_factory=dict, repr=False)
 
     def _once(self, name: str, build):
@@ -164,8 +166,9 @@ class Cluster:
         return intervention.fix_check_grid(self.monthly())
 
     def search_reviews(self, **filters) -> DataFrame:
+        """Only the reviews that the filters leave are labelled."""
         self._check(filters.get("property_id"), filters.get("aspect"))
-        return search.search_reviews(self.reviews, self.mentions, **filters)
+        return search.search_reviews(self.reviews, self.label or self.mentions, **filters)
 
     def classify_text(self, text: str | None) -> DataFrame:
         return labels.classify_text(self.reviews.sparkSession, text, self.aspects)
@@ -195,20 +198,27 @@ def cluster_from_reviews(reviews: DataFrame, locations: DataFrame | None = None,
                          scorer: labels.BatchScorer | None = None, **info) -> Cluster:
     """Label validated reviews and wrap them. ``scorer`` switches to model sentiment."""
     aspects = aspects or config.ASPECTS
-    mentions = (labels.label_with_model(reviews, scorer, aspects) if scorer is not None
-                else labels.label_reviews(reviews, aspects, lexicon))
-    return Cluster(reviews, mentions, locations=locations, aspects=aspects, **info)
+
+    def label(rows: DataFrame) -> DataFrame:
+        return (labels.label_with_model(rows, scorer, aspects) if scorer is not None
+                else labels.label_reviews(rows, aspects, lexicon))
+
+    return Cluster(reviews, label(reviews), locations=locations, aspects=aspects, label=label, **info)
 
 
 def load_cluster(spark: SparkSession, path: str, locations: str | DataFrame | None = None,
-                 **options) -> Cluster:
-    """Load, validate, identify and label a review file or a folder of them."""
+                 multiline: bool = True, **options) -> Cluster:
+    """Load, validate, identify and label a review file or a folder of them.
+
+    A ``cluster_id`` column makes it many clusters, each judged by itself.
+    """
     path = str(path)
     single = path.lower().endswith(sources.SUFFIXES)
-    raw = sources.load_reviews(spark, path) if single else sources.load_dir(spark, path)
+    read = sources.load_reviews if single else sources.load_dir
+    raw = read(spark, path, multiline)
     names = [path] if single else [path, *sources.list_files(spark, path)]
     ready = sources.normalise_property_ids(sources.with_review_ids(
-        raw.select(*[c for c in [*config.REQUIRED_COLUMNS, *config.OPTIONAL_COLUMNS]
+        raw.select(*[c for c in [*config.REQUIRED_COLUMNS, *config.OPTIONAL_COLUMNS, CLUSTER]
                      if c in raw.columns])))
     placed = None
     if locations is not None:

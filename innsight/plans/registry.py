@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from innsight import config
 from innsight.functions import geo
 from innsight.functions import text as tx
-from innsight.functions.frames import natural_key, spread_scan, stage
+from innsight.functions.frames import natural_key, stage, staged_path
 from innsight.functions.stats import bh_qvalues, wilson, with_t_tests
 from innsight.operators import (
     benchmark,
@@ -26,7 +26,7 @@ from innsight.operators import (
     units,
 )
 from innsight.plans import adapters
-from innsight.plans.adapters import TEST_ASPECTS, TEST_LEXICON, table
+from innsight.plans.adapters import TEST_ASPECTS, TEST_LEXICON, spread_scan, table
 from innsight.sources import locations as places
 from innsight.sources import region
 from innsight.sources import reviews as sources
@@ -35,7 +35,7 @@ from innsight.streaming import label_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LI_ASPECTS = ["AF", "AO", "NF", "NO", "RF", "RO"]
-PERMUTATIONS = 39
+PERMUTATIONS = config.NEIGHBOURHOOD_PERMUTATIONS
 
 
 def query(fn):
@@ -158,11 +158,9 @@ def i11_property_ids(spark, sf_dir):
 @query
 def i12_load_cluster(spark, sf_dir):
     """Documents exported as CSV files, then loaded, validated, identified and labelled."""
-    from innsight.functions.frames import _STAGED, _staging_folder
     docs = adapters.reviews_doc(spark, sf_dir).drop("review_id")
-    folder = f"{_staging_folder(docs)}/export-{spark._jvm.java.util.UUID.randomUUID()}"
+    folder = staged_path(spark, "export")
     sinks.write_csv(docs, folder)
-    _STAGED.append(folder)
     from innsight.plans.cluster import load_cluster
     loaded = load_cluster(spark, folder, aspects=TEST_ASPECTS, lexicon=TEST_LEXICON)
     return loaded.mentions.groupBy("property_id", "aspect").agg(
@@ -369,7 +367,7 @@ def b3_q_values_bucketed(spark, sf_dir):
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("family"),
         F.least(F.col("l_extendedprice") * F.col("l_tax") / 8191.0, F.lit(1.0))
         .alias("p_value"))
-    return rounded(bh_qvalues(rows, "p_value", ["family"], window_rows=0), "p_value", "q_value")
+    return rounded(bh_qvalues(rows, "p_value", ["family"]), "p_value", "q_value")
 
 
 @query
@@ -657,7 +655,7 @@ def f3_placebo_ranks(spark, sf_dir):
     monthly, adjusted = _adjusted(spark, sf_dir)
     requests = adjusted.select("property_id", "aspect").distinct().select(
         "*", F.lit("1999-06-01").cast("date").alias("start"),
-        F.lit("1996-01-01").cast("date").alias("baseline"))
+        F.lit("1995-01-01").cast("date").alias("baseline"))
     shifts = stage(intervention.shifts_for(adjusted, requests), "shifts")
     rows = intervention.placebo_ranks(shifts)
     return rounded(rows.select("property_id", "aspect", "delta", "rank",
@@ -668,7 +666,7 @@ def f3_placebo_ranks(spark, sf_dir):
 def f4_detected_starts(spark, sf_dir):
     _, adjusted = _adjusted(spark, sf_dir)
     requests = adjusted.select("property_id", "aspect").distinct().withColumn(
-        "baseline", F.lit("1996-01-01").cast("date"))
+        "baseline", F.lit("1995-01-01").cast("date"))
     return intervention.detected_starts(adjusted, requests).drop("baseline")
 
 
@@ -813,10 +811,7 @@ def x1_search_all(spark, sf_dir):
 
 
 def _sink_folder(spark, df):
-    from innsight.functions.frames import _STAGED, _staging_folder
-    folder = f"{_staging_folder(df)}/sink-{spark._jvm.java.util.UUID.randomUUID()}"
-    _STAGED.append(folder)
-    return folder
+    return staged_path(spark, "sink")
 
 
 @query
@@ -841,11 +836,13 @@ def x3_csv(spark, sf_dir):
 # --- E: evaluation --------------------------------------------------------------------------------------------------
 
 
-def _gold_and_pred(spark, sf_dir):
+def _gold_and_pred(spark, sf_dir, unseen: bool = False):
+    """Parsed labels and predictions; ``unseen`` leaves every tenth text without a prediction, as coverage counts those."""
     docs = adapters.reviews_doc(spark, sf_dir)
     found = labels.label_reviews(docs, TEST_ASPECTS, TEST_LEXICON)
-    pred = evaluate.predictions(docs.where(F.col("review_id") % 10 != 3), found,
-                                list(TEST_ASPECTS))
+    if unseen:
+        docs = docs.where(F.col("review_id") % 10 != 3)
+    pred = evaluate.predictions(docs, found, list(TEST_ASPECTS))
     taxonomy = list(TEST_ASPECTS)
     gold = evaluate.parse_labels(adapters.gold_labels(spark, sf_dir), "gold", taxonomy)
     return (stage(gold, "gold"),
@@ -911,7 +908,7 @@ def e6_error_analysis(spark, sf_dir):
 
 @query
 def e7_coverage(spark, sf_dir):
-    return evaluate.coverage_counters(*_gold_and_pred(spark, sf_dir))
+    return evaluate.coverage_counters(*_gold_and_pred(spark, sf_dir, unseen=True))
 
 
 @query
@@ -985,7 +982,7 @@ def l4_tfidf_terms(spark, sf_dir):
     texts = spread_scan(table(spark, sf_dir, "conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     counts = stage(learn.term_counts(texts), "terms")
-    vocab = stage(learn.vocabulary(counts, texts.count(), max_features=5000), "vocab")
+    vocab = stage(learn.vocabulary(counts, texts.count()), "vocab")
     return rounded(learn.weighted_terms(counts, vocab).join(
         F.broadcast(vocab.select("idx", "term")), "idx").select("id", "term", "value"), "value")
 
@@ -993,15 +990,15 @@ def l4_tfidf_terms(spark, sf_dir):
 @query
 def l4_train(spark, sf_dir):
     rows = learn.stratified_splits(_training_rows(spark, sf_dir))
-    _, tuning = learn.train(rows, max_iter=10, max_features=20_000)
+    _, tuning = learn.train(rows)
     return tuning
 
 
 @query
 def l5_score_texts(spark, sf_dir):
     rows = stage(learn.stratified_splits(_training_rows(spark, sf_dir)), "rows")
-    model, _ = learn.train(rows, c_grid=(1.0,), max_iter=10, max_features=20_000)
-    return learn.score_texts(rows.where("split = 'test'").select("id", "text"), model)
+    model, _ = learn.train(rows)
+    return learn.score_texts(rows.select("id", "text"), model)
 
 
 def _rule_scored(spark, sf_dir):

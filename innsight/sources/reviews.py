@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,22 +24,26 @@ class SchemaError(ValueError):
 
 
 def read_frame(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Read one CSV, JSON array or JSON-lines export as it is.
+    """Read one CSV, JSON array or JSON-lines export as it is; a folder of part files is one export.
 
     CSV columns stay text. ``multiline=False`` lets Spark split a large CSV whose quoted
     fields hold no line breaks.
     """
-    suffix = re.search(r"(\.[A-Za-z]+)/?$", str(path))
-    kind = suffix.group(1).lower() if suffix else ""
+    kind = _kind(str(path)) or next(map(_kind, _entries(spark, str(path))[0]), "")
     if kind == ".csv":
         return spark.read.csv(str(path), header=True, multiLine=multiline, escape='"')
     if kind in (".json", ".jsonl"):
         return spark.read.json(str(path), multiLine=(kind == ".json"))
-    raise SchemaError(f"Unsupported file type '{kind}'. Use .csv, .json, or .jsonl.")
+    raise SchemaError(f"{path}: only {', '.join(SUFFIXES)} can be read")
 
 
-def load_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return validate_reviews(drop_identity_columns(read_frame(spark, path)))
+def _kind(path: str) -> str:
+    name = path.rstrip("/").lower()
+    return next((s for s in SUFFIXES if name.endswith(s)), "")
+
+
+def load_reviews(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return validate_reviews(drop_identity_columns(read_frame(spark, path, multiline)))
 
 
 def drop_identity_columns(df: DataFrame) -> DataFrame:
@@ -156,52 +159,43 @@ def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
 def _require_columns(df: DataFrame) -> None:
     missing = [c for c in config.REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        raise SchemaError(
-            f"Missing required column(s): {missing}. Expected: {config.REQUIRED_COLUMNS}")
+        raise SchemaError(f"no column for required {', '.join(missing)}")
 
 
 def _blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]")
 
 
+def _faults() -> dict[str, Column]:
+    """What makes a row unusable, by name, in the order in which it is reported."""
+    low, high = config.RATING_RANGE
+    rating = F.col("rating").try_cast("double")
+    return {
+        "missing date": F.col("date").isNull(),
+        "non-numeric rating": rating.isNull() | F.isnan(rating),
+        "rating out of range": ~rating.between(low, high),
+        "empty text": _blank(F.col("text").cast("string")),
+    }
+
+
 def validate_reviews(df: DataFrame) -> DataFrame:
-    """Check a review frame with one aggregate and raise on the first problem found."""
+    """Check a review frame with one aggregate; the error counts the rows of every fault there is."""
     _require_columns(df)
     df = parse_dates(df)
-    low, high = config.RATING_RANGE
-    rating = F.col("rating").try_cast("double")
-    outside = ~rating.between(low, high) | F.isnan(rating)
-    seen = df.agg(
-        F.count_if(F.col("date").isNull()).alias("no_date"),
-        F.count_if(rating.isNull()).alias("no_rating"),
-        F.count_if(outside).alias("out_of_range"),
-        F.min(F.when(outside, rating)).alias("low"), F.max(F.when(outside, rating)).alias("high"),
-        F.count_if(_blank(F.col("text").cast("string"))).alias("no_text")).first()
-    if seen["no_date"]:
-        raise SchemaError(f"Column 'date' contains {seen['no_date']} missing values.")
-    if seen["no_rating"]:
-        raise SchemaError(f"Column 'rating' contains {seen['no_rating']} non-numeric values.")
-    if seen["out_of_range"]:
-        raise SchemaError(
-            f"'rating' must be within [{low:g}, {high:g}]; {seen['out_of_range']} values "
-            f"outside, between {seen['low']:g} and {seen['high']:g}.")
-    if seen["no_text"]:
-        raise SchemaError(f"{seen['no_text']} review(s) have empty 'text'.")
-    return df.withColumn("rating", rating).withColumn("text", F.col("text").cast("string"))
+    faults = _faults()
+    counts = df.agg(*[F.count_if(rule).alias(name) for name, rule in faults.items()]).first()
+    if found := [f"{name}: {counts[name]}" for name in faults if counts[name]]:
+        raise SchemaError(f"unusable reviews ({'; '.join(found)})")
+    return df.withColumn("rating", F.col("rating").try_cast("double")).withColumn("text", F.col("text").cast("string"))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with ``reason``): the form for data too large to refuse."""
     _require_columns(df)
-    low, high = config.RATING_RANGE
-    rating = F.col("rating").try_cast("double")
-    reason = (
-        F.when(F.col("date").isNull(), "missing date")
-        .when(rating.isNull() | F.isnan(rating), "non-numeric rating")
-        .when(~rating.between(low, high), "rating out of range")
-        .when(_blank(F.col("text").cast("string")), "empty text"))
+    reason = F.coalesce(*[F.when(rule, name) for name, rule in _faults().items()])
     judged = df.withColumn("reason", reason)
-    return (judged.where(F.col("reason").isNull()).drop("reason").withColumn("rating", rating),
+    valid = judged.where(F.col("reason").isNull()).drop("reason")
+    return (valid.withColumn("rating", F.col("rating").try_cast("double")),
             judged.where(F.col("reason").isNotNull()))
 
 
@@ -216,9 +210,12 @@ def _comparison_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*cells).alias("_k1"), F.xxhash64(F.lit("second"), *cells).alias("_k2")]
 
 
-def drop_repeats_across_files(df: DataFrame, file_column: str = "_file") -> DataFrame:
+def drop_repeats_across_files(df: DataFrame, file_column: str = "_file",
+                              dropped: Observation | None = None) -> DataFrame:
     """Drop rows that an earlier file already had; repeats inside one file stay.
 
+    ``dropped`` observes the number of ``rows`` and of ``repeats`` among them.
+
     The first file of each key comes from a map-side aggregate, kept only for keys that
     several files share, so a row copied a billion times is one row of that table.
     """
@@ -226,77 +223,87 @@ def drop_repeats_across_files(df: DataFrame, file_column: str = "_file") -> Data
     shared = keyed.groupBy("_k1", "_k2").agg(
         F.min(file_column).alias("_first"), F.max(file_column).alias("_last")
     ).where("_first < _last").drop("_last")
-    kept = keyed.join(shared, ["_k1", "_k2"], "left").where(
-        F.col("_first").isNull() | (F.col(file_column) == F.col("_first")))
-    return kept.drop("_k1", "_k2", "_first")
+    judged = keyed.join(shared, ["_k1", "_k2"], "left").withColumn(
+        "_kept", F.col("_first").isNull() | (F.col(file_column) == F.col("_first")))
+    if dropped is not None:
+        judged = judged.observe(dropped, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("_kept")).alias("repeats"))
+    return judged.where("_kept").drop("_k1", "_k2", "_first", "_kept")
+
+
+def _entries(spark: SparkSession, directory: str) -> tuple[list[str], list[str]]:
+    """(review files, folders) of a folder on any Hadoop file system, sorted by path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    status = list(path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    names = [(s.getPath().toString(), s.isFile()) for s in status]
+    return sorted(n for n, file in names if file and _kind(n)), sorted(n for n, file in names if not file)
 
 
 def list_files(spark: SparkSession, directory: str) -> list[str]:
-    """Review files of a folder (any Hadoop file system), sorted by path."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(str(directory))
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().toString() for s in system.listStatus(path) if s.isFile()]
-    return sorted(n for n in names if n.lower().endswith(SUFFIXES))
-
-
-def load_dir(spark: SparkSession, directory: str) -> DataFrame:
-    """Every export of a folder, validated file by file, without cross-file repeats."""
-    files = list_files(spark, directory)
-    if not files:
-        raise FileNotFoundError(f"No CSV/JSON review files in {directory}")
-    frames = [load_reviews(spark, f).withColumn("_file", F.lit(i)) for i, f in enumerate(files)]
+    """The exports of a folder: its review files, and its folders that are named like one.
+
+    A folder of part files, as Spark writes it, is one export however many parts it has.
+    """
+    files, folders = _entries(spark, str(directory))
+    if files and all(f.rsplit("/", 1)[-1].startswith("part-") for f in files):
+        return [str(directory)]
+    return sorted(files + [f for f in folders if _kind(f)])
+
+
+def load_dir(spark: SparkSession, directory: str, multiline: bool = True,
+             dropped: Observation | None = None) -> DataFrame:
+    """Every export of a folder, validated one by one, without the rows an earlier export had.
+
+    ``dropped`` observes ``rows`` before and ``repeats``, those of them that are dropped.
+    """
+    exports = list_files(spark, directory)
+    if not exports:
+        raise FileNotFoundError(f"{directory} holds no review export")
+    frames = [load_reviews(spark, f, multiline).withColumn("_file", F.lit(i)) for i, f in enumerate(exports)]
     combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return drop_repeats_across_files(combined).drop("_file")
+    return drop_repeats_across_files(combined, dropped=dropped).drop("_file")
 
 
 # --- I8-I9: partner exports -------------------------------------------------------------------
 
 
-def _fold(name: str) -> str:
-    return re.sub(r"[ -]", "_", str(name).strip().lower())
+def _same_name(name: str) -> str:
+    """Headers are compared without case, outer blanks, and the kind of word separator."""
+    return "_".join(re.split(r"[ _-]", name.strip().lower()))
 
 
-def _checked_mapping(mapping: dict[str, str], columns: list[str]) -> dict[str, str]:
-    known = [*config.REQUIRED_COLUMNS, *config.OPTIONAL_COLUMNS]
-    unknown = sorted(set(mapping) - set(known))
-    if unknown:
-        raise SchemaError(f"Mapping contains unknown canonical column(s): {unknown}.")
-    if len(set(mapping.values())) < len(mapping):
-        raise SchemaError("A source column is mapped to more than one field.")
-    absent = sorted(set(mapping.values()) - set(columns))
-    if absent:
-        raise SchemaError(f"Mapping refers to missing source column(s) {absent}.")
-    return mapping
+def _claims(columns: list[str], fields: list[str], mapping: dict[str, str]) -> list[tuple[str, int, str]]:
+    """(field, priority, column) for every column that could serve a field: mapped, same name, known alias."""
+    rows = [(f, 0, c) for f, c in mapping.items()]
+    for priority, names in ((1, lambda f: (f,)), (2, lambda f: config.COLUMN_ALIASES.get(f, ()))):
+        rows += [(f, priority, c) for f in fields for c in columns if _same_name(c) in {_same_name(n) for n in names(f)}]
+    return rows
 
 
 def map_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Select an export's columns under their canonical names.
 
-    A field takes its explicit source, else the header of its own name, else one known
-    alias. No source serves two fields, and two candidates are an error.
+    Each field goes to the column that claims it with the best priority; a column that is mapped, or
+    serves an earlier field, claims no other. Two columns with equal claims are an error.
     """
-    chosen = _checked_mapping(dict(mapping or {}), df.columns)
-    taken = set(chosen.values())
-
-    def candidates(names: Iterable[str]) -> list[str]:
-        wanted = [_fold(n) for n in names]
-        return [c for c in df.columns if _fold(c) in wanted and c not in taken]
-
-    for field in [*config.REQUIRED_COLUMNS, *config.OPTIONAL_COLUMNS]:
-        if field in chosen:
-            continue
-        options = candidates([field]) or candidates(config.COLUMN_ALIASES.get(field, ()))
-        if len(options) > 1:
-            raise SchemaError(f"Ambiguous source columns for '{field}': {options}. "
-                              "Provide an explicit mapping.")
-        if options:
-            chosen[field] = options[0]
-            taken.add(options[0])
-    missing = [f for f in config.REQUIRED_COLUMNS if f not in chosen]
-    if missing:
-        raise SchemaError(f"Could not map required column(s): {missing}.")
-    ordered = [f for f in [*config.REQUIRED_COLUMNS, *config.OPTIONAL_COLUMNS] if f in chosen]
-    return df.select(*[F.col(f"`{chosen[f]}`").alias(f) for f in ordered])
+    mapping = dict(mapping or {})
+    fields = [*config.REQUIRED_COLUMNS, *config.OPTIONAL_COLUMNS, CLUSTER]
+    wrong = {f"no such field: {f}" for f in mapping if f not in fields}
+    wrong |= {f"no such column: {c}" for c in mapping.values() if c not in df.columns}
+    wrong |= {f"column used twice: {c}" for c in mapping.values() if [*mapping.values()].count(c) > 1}
+    if wrong:
+        raise SchemaError("mapping: " + "; ".join(sorted(wrong)))
+    claims = _claims(df.columns, fields, mapping)
+    chosen: dict[str, str] = dict(mapping)
+    for field in fields:
+        open_claims = [(p, c) for f, p, c in claims if f == field and c not in chosen.values()]
+        best = [c for p, c in open_claims if p == min(open_claims)[0]]
+        if field not in chosen and best:
+            if len(best) > 1:
+                raise SchemaError(f"{field}: {' and '.join(best)} both fit; ambiguous without a mapping")
+            chosen[field] = best[0]
+    if absent := [f for f in config.REQUIRED_COLUMNS if f not in chosen]:
+        raise SchemaError(f"no column for required {', '.join(absent)}")
+    return df.select(*[F.col(f"`{chosen[f]}`").alias(f) for f in fields if f in chosen])
 
 
 def adapt_frame(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:

@@ -24,11 +24,11 @@ def reject_reason(limit: int = config.TEXT_LIMIT):
 
 
 def label_stream(reviews: DataFrame, aspects: dict[str, list[str]] | None = None,
-                 limit: int | None = config.TEXT_LIMIT) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """Mentions of accepted reviews, plus one row with ``rejected`` per refused review.
 
-    The same projection serves batch and streaming frames. ``limit=None`` accepts any
-    length.
+    The same projection serves batch and streaming frames. A caller with a length rule, such
+    as a web form, sets ``limit``.
     """
     keep = [*scope(reviews), "review_id", "property_id", "date"]
     reason = reject_reason(limit) if limit is not None else F.when(

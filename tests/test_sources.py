@@ -51,7 +51,7 @@ def test_identity_columns(spark):
 def test_rejected(spark, change):
     with pytest.raises(src.SchemaError):
         src.validate_reviews(frame(spark, **change))
-    with pytest.raises(src.SchemaError, match="Missing"):
+    with pytest.raises(src.SchemaError, match="no column for required"):
         src.validate_reviews(frame(spark).drop("text"))
 
 
@@ -87,12 +87,12 @@ def test_partner_export(spark):
         "review_body string, lang string, reviewer_name string")
     mapped = src.adapt_frame(df, {"property_id": "hotel_code", "text": "review_body"})
     assert mapped.columns == ["property_id", "platform", "date", "rating", "text", "language_hint"]
-    with pytest.raises(src.SchemaError, match="missing source"):
+    with pytest.raises(src.SchemaError, match="no such column"):
         src.adapt_frame(df, {"property_id": "hotel_code", "text": "reviewer_name"})
     two = df.withColumn("comment", F.lit("x")).withColumnRenamed("review_body", "review_text")
-    with pytest.raises(src.SchemaError, match="Ambiguous"):
+    with pytest.raises(src.SchemaError, match="ambiguous"):
         src.map_columns(two, {"property_id": "hotel_code"})
-    with pytest.raises(src.SchemaError, match="unknown canonical"):
+    with pytest.raises(src.SchemaError, match="no such field"):
         src.map_columns(df, {"colour": "lang"})
 
 

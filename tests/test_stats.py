@@ -43,7 +43,7 @@ def test_bh(spark, limit):
     data = [(0, i, p) for i, p in enumerate(hand)] + [(1, i, p) for i, p in enumerate(many)]
     df = spark.createDataFrame(data + [(1, 9999, None)], "fam int, i int, p_value double")
     got = {(r["fam"], r["i"]): r["q_value"]
-           for r in bh_qvalues(df, "p_value", ["fam"], window_rows=limit).collect()}
+           for r in bh_qvalues(df, "p_value", ["fam"], bounded=bool(limit)).collect()}
     assert got.pop((1, 9999)) is None
     assert np.allclose([got[0, i] for i in range(4)], [.02, .04, .04, .02])
     assert np.allclose([got[1, i] for i in range(len(many))], bh(many), rtol=1e-12)
