@@ -29,7 +29,9 @@ def read_frame(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
     CSV columns stay text. ``multiline=False`` lets Spark split a large CSV whose quoted
     fields hold no line breaks.
     """
-    kind = _kind(str(path)) or next(map(_kind, _entries(spark, str(path))[0]), "")
+    kind = _kind(str(path))
+    if not kind and _is_folder(spark, str(path)):
+        kind = next(map(_kind, _entries(spark, str(path))[0]), "")  # a folder of part files
     if kind == ".csv":
         return spark.read.csv(str(path), header=True, multiLine=multiline, escape='"')
     if kind in (".json", ".jsonl"):
@@ -230,6 +232,12 @@ def drop_repeats_across_files(df: DataFrame, file_column: str = "_file",
     return judged.where("_kept").drop("_k1", "_k2", "_first", "_kept")
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isDirectory()
+
+
 def _entries(spark: SparkSession, directory: str) -> tuple[list[str], list[str]]:
     """(review files, folders) of a folder on any Hadoop file system, sorted by path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from innsight import load_cluster
@@ -150,3 +151,22 @@ def test_load_cluster_and_snapshot(spark, tmp_path):
     sinks.write_snapshot({"mentions": cluster.mentions}, str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out" / "mentions"))
     assert back.count() == cluster.mentions.count()
+
+
+def test_a_folder_of_part_files_is_one_export(spark, tmp_path):
+    rows = [("A", "web", "2024-01-05", "5", "same text", "en", "c1")] * 2 + [("B", "web", "2024-01-06", "4", "other", "en", "c2")]
+    frame = spark.createDataFrame(rows, "property_id string, platform string, date string, rating string, text string, language_hint string, cluster_id string")
+    for parts in (1, 3):
+        folder = f"{tmp_path}/export-{parts}"
+        frame.repartition(parts).write.option("header", True).csv(folder)
+        assert len(src.list_files(spark, folder)) == 1
+        assert src.load_dir(spark, folder).count() == 3
+        assert src.load_dir(spark, folder, multiline=False).count() == 3
+    frame.coalesce(1).write.option("header", True).csv(f"{tmp_path}/many/one.csv")
+    frame.coalesce(1).write.option("header", True).csv(f"{tmp_path}/many/two.csv")
+    dropped = Observation("dropped")
+    assert src.load_dir(spark, f"{tmp_path}/many", dropped=dropped).count() == 3
+    assert dropped.get == {"rows": 6, "repeats": 3}
+    from innsight.plans.cluster import load_cluster
+
+    assert "cluster_id" in load_cluster(spark, f"{tmp_path}/many").reviews.columns

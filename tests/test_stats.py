@@ -85,3 +85,18 @@ def test_natural_order(spark):
 def test_haversine(spark):
     km = spark.range(1).select(geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)))
     assert abs(km.first()[0] - 111.19) < 0.01
+
+
+def test_two_sided_tail_is_even(spark):
+    df = spark.createDataFrame([(20.0, 1.0, 50.0), (-20.0, 1.0, 50.0), (0.0, 1.0, 50.0)], "effect double, se double, dof double")
+    p = [r["p_two_sided"] for r in with_t_tests(df).collect()]
+    assert p[0] == p[1] and np.isclose(p[0], 1.65e-25, rtol=1e-2) and np.isclose(p[2], 1.0)
+
+
+def test_rounding_decides_on_the_binary_value(spark):
+    from innsight.functions.frames import half_even
+
+    values = [(0.5335, 3), (2.675, 2), (0.125, 2), (0.375, 2), (-0.5335, 3), (1e-9, 3), (1234.5675, 3)]
+    for value, digits in values:
+        got = spark.createDataFrame([(value,)], "v double").select(half_even(F.col("v"), digits)).first()[0]
+        assert got == round(value, digits), (value, got)
