@@ -8,9 +8,11 @@ reach the size-derived bound:
    n - ceil(0.8 n) + 1. Frequent n-grams are put last, by a count sketch of the whole corpus.
 2. Rows that share such an n-gram, with sizes that can link, are in one cluster. A cluster is
    a block on the diagonal; outside the blocks every entry is below its bound.
-3. Whole sets are brought to their clusters, large clusters cut in blocks of rows by size and hash. In a
-   block, overlaps are accumulated column by column, pairs below the bound of their sizes are
-   discarded, and of the links a spanning forest is kept.
+3. The first block of columns is these n-grams: within a cluster (a large one cut in blocks of rows by size and
+   hash) the overlaps in them are accumulated, and pairs that their other n-grams can't bring
+   to the bound of their sizes are discarded. What is left makes much smaller clusters.
+4. The second block is all columns: only the sets of these clusters are brought together whole, overlaps
+   are accumulated, pairs below the bound discarded, and of the links a spanning forest is kept.
 
 Blocks have bounded size; a link is never dropped, only implied by others.
 """
@@ -103,8 +105,7 @@ def frequency_sketch(measured: DataFrame) -> np.ndarray:
 
 def prefix(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The n-grams of a set of which every linked set has one among its own: the rarest n - ceil(0.8 n) + 1."""
-    n = len(grams)
-    return grams[np.lexsort((grams, sketch[_slot(grams)]))[:n + (-LINK * n // LINK_OF) + 1]]
+    return grams[np.lexsort((grams, sketch[_slot(grams)]))[:prefix_size(len(grams))]]
 
 
 def _postings(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -133,13 +134,17 @@ def can_link(small: Column, large: Column) -> Column:
     return small * LINK_OF >= large * LINK
 
 
-def clusters(postings: DataFrame) -> DataFrame:
-    """(node, cluster) of the sets that share a first n-gram with a set of a size that can link."""
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """Distinct postings of the n-grams that more than one set has among its first."""
     at = Window.partitionBy("token")
     shared = postings.withColumn("shared", F.min("node").over(at) != F.max("node").over(at)).where("shared")
-    shared = written(shared.select("token", "node", "n").distinct(), "shingle-postings")
+    return written(shared.select("token", "node", "n").distinct(), "shingle-postings")
+
+
+def clusters(shared: DataFrame) -> DataFrame:
+    """(node, root) of the sets that share a first n-gram with a set of a size that can link."""
     # along a list in order of size, a gap that can't link starts a new run; a run's members are tied to its first
-    by_size = at.orderBy("n", "node")
+    by_size = Window.partitionBy("token").orderBy("n", "node")
     before = F.lag("n").over(by_size)
     gap = F.when(before.isNull() | ~can_link(before, F.col("n")), 1).otherwise(0)
     runs = shared.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_size))
@@ -147,6 +152,35 @@ def clusters(postings: DataFrame) -> DataFrame:
     return connected(runs.select(F.col("node").alias("a"), head.alias("b")))
 
 
+def close_clusters(shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(node, root) of the sets that are still tied when overlaps in the first n-grams are known."""
+    sizes = shared.groupBy("node").agg(F.first("n").alias("n"))
+    placed = written(grouped.join(sizes, "node").select("node", F.col("root").alias("cluster"), "n"), "shingle-clusters")
+    rows = shared.join(_blocks(placed), "node")
+    return connected(rows.groupBy("cell").applyInPandas(_close_in_cell, "a bigint, b bigint"))
+
+
+def prefix_size(n):
+    """How many of a set's n-grams are its first: all but as many as a linked set may lack, and one."""
+    return n + (-LINK * n // LINK_OF) + 1
+
+
+def _close_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) for a forest over the pairs of a cell that the other n-grams could still bring to their bound."""
+    cell = cell.drop_duplicates(["node", "token"]).sort_values("node", kind="stable")
+    nodes, first = np.unique(cell["node"].to_numpy(), return_index=True)
+    size = cell["n"].to_numpy(np.int64)[first]
+    shared = overlaps(np.split(cell["token"].to_numpy(np.int64), first[1:]))
+    # all n-grams that two sets share up to where the first prefix ends are counted; past it, that set has so many more
+    rest = size - prefix_size(size)
+    most = shared + np.maximum(rest[:, None], rest[None, :])
+    return _forest(nodes, (shared > 0) & _reaches(most, size))
+
+
+def _reaches(overlap: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (LINK_OF + LINK) * overlap >= LINK * (size[:, None] + size[None, :])
+
+
 def _blocks(placed: DataFrame) -> DataFrame:
     """Where rows go, (node, cell): one cell for clusters that fit in a block together, and for parts of large ones.
 
@@ -218,8 +252,11 @@ def _links_of_cell(cell: pd.DataFrame) -> pd.DataFrame:
     nodes = cell["node"].to_numpy()
     sets = [np.frombuffer(g, np.uint64) for g in cell["grams"]]
     size = np.array([len(s) for s in sets])
-    shared = overlaps(sets)
-    linked = (LINK_OF + LINK) * shared >= LINK * (size[:, None] + size[None, :])
+    return _forest(nodes, _reaches(overlaps(sets), size))
+
+
+def _forest(nodes: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
+    """(a, b) for a spanning forest of the upper triangle of ``linked``."""
     linked = np.triu(linked, 1)
     linked |= linked.T
     root = np.full(len(nodes), -1)
@@ -238,8 +275,8 @@ def _links_of_cell(cell: pd.DataFrame) -> pd.DataFrame:
 
 def links(texts: DataFrame, measured: DataFrame) -> DataFrame:
     """(a, b): a forest that spans every component of linked sets with two sets or more."""
-    postings = _postings(texts, frequency_sketch(measured))
-    grouped = written(clusters(postings), "shingle-clusters").withColumnRenamed("root", "cluster")
+    shared = shared_postings(_postings(texts, frequency_sketch(measured)))
+    grouped = close_clusters(shared, clusters(shared)).withColumnRenamed("root", "cluster")
     one_of = measured.where("n_shingles > 0").groupBy(F.col("mark").alias("node")).agg(
         F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"))).alias("one"), F.first("n_shingles").alias("n"))
     placed = written(grouped.join(one_of, "node").select("node", "cluster", "n", "one.text_hash", "one.key"), "shingle-placed")
