@@ -709,6 +709,9 @@ ORACLES["f6_fix_check_grid"] = _sql(f"""select property_id, aspect, strftime(sta
     case when has_market and delta is not null then members_ - 1 else 0 end as n_placebo,
     case when delta is not null then detected end as detected_start from grid_checks""")
 
+ORACLES["f2_single_check"] = f"""select * from ({ORACLES['f6_fix_check_grid']})
+    where property_id = 'N7' and aspect = 'RF' and start = '1999-06'"""
+
 # --- decisions -------------------------------------------------------------------------------------------------
 
 CTES["declines"] = """select property_id, aspect, change_month, delta3, market3 from shifts_found
@@ -879,8 +882,34 @@ ORACLES["l2_corpus"] = _sql(f"""select review_id as id, case rank when 1 then 't
       order by rank, review_id) as rn from (select *, case when review_id % 5 < 3 then 1 when review_id % 5 = 3
       then 2 else 3 end as rank from docs where norm <> ''
       and norm not in (select {norm('text')} from benchmark))) where rn = 1""")
+def _split(*keys: str) -> str:
+    tenth = f"('0x' || substr(sha256(concat_ws(':', '42', {', '.join(keys)})), 1, 12))::bigint % 10"
+    return f"case when {tenth} < 8 then 'train' when {tenth} = 8 then 'dev' else 'test' end as split"
+
+
+_T = "((avg(l_quantity) - 25.0) / (stddev_samp(l_quantity) / sqrt(count(*))))"
+ORACLES["p1_t_p_values"] = f"""select l_suppkey, {r6('effect')} as effect, {r6('se')} as se,
+    {r6('case when t >= 0 then tail else 1 - tail end')} as p_upper, {r6('least(1.0, 2 * tail)')} as p_two_sided
+    from (select *, {t_tail('abs(t)', 'dof')} as tail from (
+      select l_suppkey, avg(l_quantity) - 25.0 as effect, stddev_samp(l_quantity) / sqrt(count(*)) as se,
+        {_T} as t, (count(*) - 1)::double as dof from lineitem group by 1))"""
+_TRUE = "property_id = 'N7' and aspect = 'RF'"
+_GAP = "abs(datediff('month', date '1999-06-01', (change_month || '-01')::date))"
+ORACLES["e9_detection_rates"] = f"""select measure, k, n, {r6('k / n')} as rate,
+    {r6('greatest(0, (k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n))')} as ci_low,
+    {r6('least(1, (k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n))')} as ci_high
+    from (select unnest(['found', 'exact_month', 'any_extra']) as measure,
+        unnest([count_if(found), count_if(exact), count_if(extra)]) as k,
+        (select count(distinct n_regionkey) from supplier join nation on s_nationkey = n_nationkey) as n, 1.96::double as z
+      from (select cluster_id, coalesce(bool_or({_TRUE} and direction = 'negative' and {_GAP} <= 1), false) as found,
+        coalesce(bool_or({_TRUE} and direction = 'negative' and {_GAP} = 0), false) as exact,
+        coalesce(bool_or(not ({_TRUE})), false) as extra
+        from ({ORACLES['c6_changepoints_by_region']}) group by cluster_id))"""
 CTES["train_rows"] = """select doc_id, lang as source, case when toxic = 1 then -1 when quality = 1 then 1 else 0 end
     as label from labels join documents using (doc_id)"""
+ORACLES["l3_grouped_splits"] = _sql(f"""select doc_id as id, d.source as "group", {_split('d.source')}
+    from train_rows t join documents d using (doc_id)""")
+ORACLES["l3_stratified_splits"] = _sql(f"""select doc_id as id, label, {_split('label', 'doc_id')} from train_rows""")
 ORACLES["l6_majority_baseline"] = _sql(f"""select source, n, {r6('2 * top / (n + top) / 3')} as macro_f1 from (
     select source, sum(k)::bigint as n, max(k) as top from (select source, label, count(*) as k
     from train_rows group by all) group by 1)""")

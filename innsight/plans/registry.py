@@ -472,6 +472,11 @@ def p1_t_tests(spark, sf_dir):
                    "ci_high")
 
 
+@query
+def p1_t_p_values(spark, sf_dir):
+    return p1_t_tests(spark, sf_dir).select("l_suppkey", "effect", "se", "p_upper", "p_two_sided")
+
+
 # --- M: market ----------------------------------------------------------------------------------------
 
 
@@ -647,7 +652,24 @@ def f1_baselines(spark, sf_dir):
 
 @query
 def f2_single_check(spark, sf_dir):
-    return intervention.intervention_check(planted_monthly(spark, sf_dir), "N7", "RF", "1999-06")
+    row = intervention.intervention_check(planted_monthly(spark, sf_dir), "N7", "RF", "1999-06")
+    return rounded(row.drop("ci_low", "ci_high", "summary"), "p_value")
+
+
+@query
+def f2_single_check_text(spark, sf_dir):
+    """The same check's interval and sentence."""
+    return intervention.intervention_check(planted_monthly(spark, sf_dir), "N7", "RF", "1999-06").select(
+        "property_id", "aspect", "start", "ci_low", "ci_high", "summary")
+
+
+@query
+def f2_single_check_by_region(spark, sf_dir):
+    """One check where each region is a cluster of its own."""
+    mentions = adapters.mentions_planted(spark, sf_dir, by_region=True)
+    monthly = stage(units.monthly_sums(units.unit_cells(units.review_units(mentions))), "monthly")
+    row = intervention.intervention_check(monthly, "N7", "RF", "1999-06")
+    return row.select("cluster_id", "property_id", "aspect", "start", "n_before", "n_after")
 
 
 @query
