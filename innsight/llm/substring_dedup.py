@@ -22,10 +22,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, slices, text_or_empty, written
+from innsight.llm.common import documents, row_of, slices, text_or_empty, written
 from innsight.llm.word_hashes import words
 
 WINDOW, K = 20, 8
@@ -52,41 +52,57 @@ def paths(first: np.ndarray, table) -> tuple[np.ndarray, ...]:
     return runs[anchor[start]].view(np.int64), table.runs(start, n + WINDOW - 1).view(np.int64), text[start], start - first[text[start]], n
 
 
-def _first_of(keys: list[np.ndarray]) -> np.ndarray:
-    """Whether each row is the first of its group; the last two of ``keys`` order a group, the rest name it."""
-    order = np.lexsort(keys[::-1])
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in keys[:-2]:
-        same &= k[order][1:] == k[order][:-1]
-    out = np.ones(len(order), bool)
-    out[order[1:][same]] = False
-    return out
+def _reduced(names: list[np.ndarray], key: np.ndarray, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows that stay of a slice's groups of equal ``names``: their indices, whether each is a known repeat, and tied rows.
+
+    A known repeat starts later than the first of its group. What starts level with the first, in other rows, has its
+    fate: those row numbers travel in the first's list (null if there are none).
+    """
+    order = np.lexsort((row, start, key, *names[::-1]))
+    new = np.ones(len(order), bool)
+    for k in names:
+        new[1:] &= k[order][1:] == k[order][:-1]
+    new[1:] = ~new[1:]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    known = (key[order] != key[first]) | (start[order] != start[first])
+    level = ~new & ~known
+    ends = np.cumsum(level)[~level]  # rows level with a first come right after it
+    ends = np.r_[ends[1:], level.sum()] if len(ends) else ends
+    offsets = np.r_[0, ends].astype(np.int32)
+    tied = pa.ListArray.from_arrays(pa.array(offsets), pa.array(row[order[level]]), mask=pa.array(np.diff(offsets) == 0))
+    return order[~level], known[~level], tied
 
 
 def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of a task's texts. Within a slice only the first of equal paths keeps its anchor; the others are known repeats."""
+    """Paths of a task's texts. Within a slice only the first of equal paths keeps its anchor; later ones are known repeats."""
     for batch in chain.from_iterable(slices(b, "text") for b in batches):
         table = words(batch.column("text"))
         anchor, path, text, start, n = paths(table.first, table)
-        key = batch.column("key").to_numpy()[text]
-        first = _first_of([anchor, path, key, start])
+        key, row = batch.column("key").to_numpy()[text], batch.column("row").to_numpy()[text]
+        at, known, tied = _reduced([anchor, path], key, start, row)
         # a known repeat needs no partner: its own place spreads it
-        anchor = np.where(first, anchor, key * 1_000_003 + start)
+        anchor = np.where(known, row[at] * 1_000_003 + start[at], anchor[at])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(path), pa.array(key), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(~first)],
-            ["anchor", "path", "key", "start", "n", "known"],
+            [pa.array(anchor), pa.array(path[at]), pa.array(key[at]), pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(known),
+             pa.array(row[at]), tied],
+            ["anchor", "path", "key", "start", "n", "known", "row", "tied"],
         )
 
 
+def _every_row() -> Column:
+    """The row and those tied to it, one each."""
+    return F.explode(F.concat(F.array("row"), F.coalesce("tied", F.array().cast("array<bigint>")))).alias("row")
+
+
 def repeated_paths(texts: DataFrame) -> DataFrame:
-    """(key, start, n, whole): paths repeated as a whole, and the first of each path of a branching anchor."""
-    met = texts.mapInArrow(_emit_paths, "anchor bigint, path bigint, key bigint, start int, n int, known boolean")
+    """(row, start, n, whole): paths repeated as a whole, and the first of each path of a branching anchor."""
+    met = texts.mapInArrow(_emit_paths, "anchor bigint, path bigint, key bigint, start int, n int, known boolean, row bigint, tied array<bigint>")
     at_anchor, of_path = Window.partitionBy("anchor"), Window.partitionBy("anchor", "path")
     here = F.struct("key", "start")
     placed = met.repartition("anchor").withColumn("branching", F.min("path").over(at_anchor) != F.max("path").over(at_anchor))
     placed = placed.withColumn("earliest", F.min(here).over(of_path))
     whole = F.col("known") | (here > F.col("earliest"))
-    return placed.withColumn("whole", whole).where("whole OR branching").select("key", "start", "n", "whole")
+    return placed.withColumn("whole", whole).where("whole OR branching").select(_every_row(), "start", "n", "whole")
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,24 +114,25 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         text = np.repeat(np.arange(len(spans)), pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False))
         flat = spans.flatten()
         start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
-        fits = start + n + WINDOW - 1 <= np.diff(table.first)[text]  # rows that share an id may differ in text
-        text, start, n = text[fits], start[fits], n[fits]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         text, start = np.repeat(text, n), np.repeat(start, n) + step
         window = table.runs(table.first[text] + start, WINDOW).view(np.int64)
-        key = batch.column("key").to_numpy()[text]
-        first = _first_of([window, key, start])
-        window = np.where(first, window, key * 1_000_003 + start)
-        yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(key), pa.array(start.astype(np.int32)), pa.array(~first)], ["window", "key", "start", "known"])
+        key, row = batch.column("key").to_numpy()[text], batch.column("row").to_numpy()[text]
+        at, known, tied = _reduced([window], key, start, row)
+        window = np.where(known, row[at] * 1_000_003 + start[at], window[at])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(window), pa.array(key[at]), pa.array(start[at].astype(np.int32)), pa.array(known), pa.array(row[at]), tied],
+            ["window", "key", "start", "known", "row", "tied"])
 
 
 def repeated_windows(texts: DataFrame, opened: DataFrame) -> DataFrame:
-    """(key, start) of the windows of opened paths that start earlier elsewhere."""
-    opened = opened.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    met = texts.join(opened.hint("merge"), "key", "left").mapInArrow(_emit_windows, "window bigint, key bigint, start int, known boolean")
+    """(row, start) of the windows of opened paths that start earlier elsewhere."""
+    opened = opened.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    met = texts.join(opened.hint("merge"), "row", "left").mapInArrow(
+        _emit_windows, "window bigint, key bigint, start int, known boolean, row bigint, tied array<bigint>")
     here = F.struct("key", "start")
     placed = met.withColumn("earliest", F.min(here).over(Window.partitionBy("window")))
-    return placed.where(F.col("known") | (here > F.col("earliest"))).select("key", "start")
+    return placed.where(F.col("known") | (here > F.col("earliest"))).select(_every_row(), "start")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +160,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if a window over it starts earlier too, in a smaller doc_id or earlier in its
     document; windows are judged on the input. Defined cases: a null text is empty; texts of fewer than
-    WINDOW words stay whole; a null doc_id comes after every other; rows with the same doc_id are one
-    document to each other: what repeats only between them stays, and the spans found in one
-    apply to each; an empty table gives no rows; other columns are left out.
+    WINDOW words stay whole; a null doc_id comes after every other; rows with the same doc_id, or with
+    none, have the same place: of windows that start at the same word of each neither starts earlier, so a repeated
+    row stays, and one that starts at a later word goes; each row loses only its own spans; an empty table gives
+    no rows; other columns are left out.
     """
     key = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_NULL_ID))
-    texts = docs.select(key.alias("key"), text_or_empty(docs).alias("text"))
+    # spans belong to a row, as ids may repeat; the row number holds once it is written
+    texts = written(docs.select(row_of(docs, None), key.alias("key"), text_or_empty(docs).alias("text")), "texts")
     repeats = written(repeated_paths(texts), "repeated-paths")
     windows = repeated_windows(texts, repeats.where("NOT whole"))
-    spans = repeats.where("whole").select("key", "start", "n").unionByName(windows.select("key", "start", F.lit(1).alias("n")))
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    out = texts.join(spans.hint("merge"), "key", "left").mapInArrow(_remove, "key bigint, n_words bigint, n_removed bigint, kept string")
+    spans = repeats.where("whole").select("row", "start", "n").unionByName(windows.select("row", "start", F.lit(1).alias("n")))
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    out = texts.join(spans.hint("merge"), "row", "left").mapInArrow(_remove, "key bigint, n_words bigint, n_removed bigint, kept string")
     return out.select(F.when(F.col("key") != _NULL_ID, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 

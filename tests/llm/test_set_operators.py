@@ -138,6 +138,25 @@ def test_substring_dedup_of_odd_rows(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_substring_dedup_of_repeated_and_null_ids(spark, parts):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcde")
+    rows = [
+        (1, a), (1, a), (1, a),  # a repeated row stays
+        (2, f"{b} end"), (2, f"{c} end"),  # one id, two texts: each its own spans
+        (3, f"x {b}"), (3, f"{c} {c}"),
+        (None, d), (None, d), (None, f"y {a} z"), (None, e), (None, f"clean {e[:60]}"), (None, f"{d} tail"), (None, f"late {d}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(parts, F.xxhash64("text", F.rand(1)))
+    got = substring_dedup.remove_repeats(docs).collect()
+    want = [
+        (1, 30, 0, a), (1, 30, 0, a), (1, 30, 0, a), (2, 31, 0, f"{b} end"), (2, 31, 0, f"{c} end"), (3, 31, 30, "x"), (3, 60, 60, ""),
+        (None, 30, 0, d), (None, 30, 0, d), (None, 32, 30, "y z"), (None, 30, 0, e), (None, len(f"clean {e[:60]}".split()), 0, f"clean {e[:60]}"),
+        (None, 31, 0, f"{d} tail"), (None, 31, 30, "late"),
+    ]
+    assert ordered((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == ordered(want)
+
+
 def test_exact_dedup_in_batches(spark, tmp_path):
     index = exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", buckets=4)
     first = spark.createDataFrame([(5, "a b"), (3, "a\t\tb"), (7, "c"), (None, "c"), (8, None), (9, "")], "doc_id bigint, text string")
