@@ -30,6 +30,10 @@ from innsight.llm.labelled import held_out, training_sample
 BUCKETS, DIMENSIONS = 1 << 15, 16
 SHORTEST, LONGEST = 3, 6
 WINDOW = 3
+#: A word of more characters is cut in pieces, which take the place of words; neighbouring ones share LONGEST - 1 characters.
+LONG, PIECE = 64, 16
+#: Stands where a piece was cut from its word; no word has it.
+CUT = "\0"
 WARM_EPOCHS, EPOCHS, RATE, DECAY = 15, 90, 0.05, 0.02
 #: Words a task remembers; a full memory is emptied.
 CACHE_WORDS = 300_000
@@ -38,12 +42,23 @@ _WORDS = re.compile(r"\w+").findall
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+    """Words of the text in order, long ones in pieces."""
+    words = _WORDS(text.lower())
+    if words and len(max(words, key=len)) > LONG:
+        return [p for w in words for p in (pieces(w) if len(w) > LONG else (w,))]
+    return words
+
+
+def pieces(word: str) -> list[str]:
+    """Overlapping pieces with CUT at the cut ends: each n-gram of the word lies whole in one of them."""
+    step = PIECE - (LONGEST - 1)
+    starts = range(0, len(word) - (LONGEST - 1), step)
+    return [CUT * (at > 0) + word[at:at + PIECE] + CUT * (at + PIECE < len(word)) for at in starts]
 
 
 def ngrams(word: str) -> list[int]:
-    """Buckets of the word in marks and of its n-grams."""
-    marked = f"<{word[:64]}>"
+    """Buckets of the word, or piece of one, in marks and of its n-grams; a cut end has no mark."""
+    marked = f"<{word}>".replace("<" + CUT, "").replace(CUT + ">", "")
     grams = {marked[i:i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
     grams.add(marked)
     return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
@@ -145,7 +160,8 @@ class Scorer(dict):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score in (0, 1) for every row of ``docs``, whole texts.
 
-    Defined cases: a null text is empty, and a text without words scores by the constant alone; of windows
+    Defined cases: a null text is empty, and a text without words scores by the constant alone; a word of more
+    than LONG characters, such as text without spaces, counts as its pieces; of windows
     equally bad the first counts, which changes no score; repeated rows and null ids are rows like
     others; an empty table gives no rows; other columns are left out.
     """

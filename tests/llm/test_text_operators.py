@@ -119,6 +119,25 @@ def test_misspellings_share_subwords():
     assert 0 < scorer.score("") < 1
 
 
+def test_long_words_count_to_their_end():
+    texts = [f"w{i} calm words here {'horrible' if i % 2 else 'pleasant'} thing v{i}" for i in range(200)]
+    scorer = toxicity.Scorer(*toxicity.train(texts, [i % 2 for i in range(200)]).log_odds())
+    for head in ("x" * 64, "calm_words_here_" * 20, "語" * 300):
+        for tail in ("", "_thing", "語" * 100):
+            assert scorer.score(f"{head}_horrible{tail}") > scorer.score(f"{head}_pleasant{tail}")
+    rng = np.random.default_rng(6)
+    for n in range(65, 160):
+        word = "".join(rng.choice(list("abcdefgh語"), n))
+        marked, whole = f"<{word}>", set()
+        for size in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+            whole |= {zlib.crc32(marked[k:k + size].encode()) % toxicity.BUCKETS for k in range(len(marked) - size + 1)}
+        assert whole <= {g for p in toxicity.words_of(word) for g in toxicity.ngrams(p)}
+    assert toxicity.words_of("Short words") == ["short", "words"]
+    joined = [f"{'x' * 70}_{'horrible' if i % 2 else 'pleasant'}" for i in range(40)]
+    learned = toxicity.Scorer(*toxicity.train(joined, [i % 2 for i in range(40)]).log_odds())
+    assert learned.score(joined[1]) > 0.5 > learned.score(joined[0])
+
+
 def test_flattened_trees_equal_walking_them():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 18))
