@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,27 +19,80 @@ SPACE = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="innsight-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="innsight-llm-"))
+    return _OWN_FOLDER[0]
+
+
+_WRITTEN: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has; within ``temporary`` it is deleted at the end."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written with a row number that holds from then on: (row, document), document a struct of all columns."""
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("document")), "numbered")
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete what is written inside to the shared folder; leave when what was made of it has been written in turn.
+
+    If the work fails its tables stay, for whoever wants to see them.
+    """
+    first = len(_WRITTEN)
+    yield
+    while len(_WRITTEN) > first:
+        delete(spark, _WRITTEN.pop())
+
+
+def by_content(docs: DataFrame) -> DataFrame:
+    """(row, document): all columns as one, and a hash of them all. It tells rows apart like a row number, but needs no copy of the table."""
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    each = [x for c in columns for x in (c.isNull(), c)]  # a hash passes over nulls
+    return docs.select(F.xxhash64(*each).alias("row"), F.struct(*columns).alias("document"))
+
+
+def kept_rows(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The documents of ``rows``, as ``by_content`` gives them, that ``decided`` (doc_id, row, kept) keeps.
+
+    What is dropped is joined, not what stays: few narrow rows, which may be broadcast if they measure small. The hash tells rows
+    of one id apart, so no two documents with ids of their own are ever taken for each other. Of rows equal in every column one stays.
+    """
+    keys = decided.groupBy("doc_id", "row").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    keys = written(keys.where("copies > 1 OR NOT kept"), "decided")
+    own = rows.withColumn("id", F.col("document.doc_id").cast("bigint"))
+
+    def of(those: DataFrame, how: str) -> DataFrame:
+        those = those.select("doc_id", F.col("row").alias("key"))
+        return own.join(those, own["id"].eqNullSafe(those["doc_id"]) & (own["row"] == those["key"]), how)
+
+    equal = keys.where("kept")
+    if equal.limit(1).count() == 0:
+        return of(keys, "left_anti").select("document.*")
+    return of(keys, "left_anti").unionByName(of(equal, "left_semi").dropDuplicates(["id", "row"])).select("document.*")
 
 
 def row_of(docs: DataFrame, row: str | None) -> Column:

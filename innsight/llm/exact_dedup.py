@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import SPACE, numbered, row_of, shared_folder, text_or_empty, written
+from innsight.llm.common import SPACE, by_content, kept_rows, new_path, row_of, text_or_empty, written
 from innsight.llm.components import attach
 
-_SCHEMA = "digest BINARY, keep_id BIGINT"
+_SCHEMA = "digest BINARY, keep_id BIGINT, batch STRING"
 
 
 def normalised(text: Column) -> Column:
@@ -27,7 +27,7 @@ def normalised(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class DigestIndex:
-    """Digests seen so far, each with the id of the row that stays."""
+    """Digests seen so far, each with the id of the row that stays and the batch that brought it."""
 
     spark: SparkSession
     table: str
@@ -50,24 +50,46 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def unseen(self, firsts: DataFrame) -> DataFrame:
-        """Rows of ``firsts`` (one per digest) whose digest the index lacks."""
-        index = self.read().select("digest").hint("merge")
-        return firsts.join(index, "digest", "left_anti")
+    def before(self, batch: str) -> DataFrame:
+        """What other batches brought. A batch that is run again, after a crash or on purpose, isn't held against itself."""
+        return self.read().where(F.col("batch") != batch)
 
-    def append(self, firsts: DataFrame) -> None:
-        """Add rows (digest, keep_id); one file per bucket, sorted."""
-        rows = written(firsts.select("digest", "keep_id"), "digest-new")  # not read from what it writes to
+    def unseen(self, firsts: DataFrame, batch: str) -> DataFrame:
+        """Rows of ``firsts`` (one per digest) whose digest no other batch brought."""
+        return firsts.join(self.before(batch).select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, firsts: DataFrame, batch: str) -> None:
+        """Add rows (digest, keep_id) that the index lacks, of this batch too; one file per bucket, sorted."""
+        new = firsts.select("digest", "keep_id").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        self._add(written(new.withColumn("batch", F.lit(batch)), "digest-new"))  # not read from what it writes to
+
+    def compacted(self, path: str) -> DigestIndex:
+        """A copy at a new ``path`` with one sorted file per bucket, so that reads need no sort after many appends.
+
+        The old index stays until its owner deletes it; a copy that was broken off is started anew at another path.
+        """
+        copy = DigestIndex.open(self.spark, path, self.buckets)
+        copy._add(self.read())
+        return copy
+
+    def _add(self, rows: DataFrame) -> None:
         (
             rows.repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest")
             .format("parquet").mode("append").saveAsTable(self.table)
         )
 
+    def forget(self) -> None:
+        """Drop the catalog entry; the files stay, and ``open`` finds them again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, row: str | None = None) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, index: DigestIndex, row: str | None = None, batch: str | None = None) -> DataFrame:
     """Deduplicate a batch against itself and ``index``, and append its new texts.
 
+    A caller who may have to repeat a batch names it: the same ``batch`` with the same rows gives the same result again, whether or
+    not the first attempt reached the index. Without a name each call is a batch of its own.
+
     Returns one row per row of ``docs``: doc_id, keep_id, group_size (rows of this batch
     with that text), kept, text_sha256, and row if ``row`` names a column of row numbers. The row that
     stays is the one the index holds, else the smallest doc_id of the batch. Defined
@@ -88,9 +110,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, row: str | None = None) ->
         .select("digest", "group_size", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")),
         "digest-groups",
     )
-    new = written(index.unseen(groups).select("digest", F.col("first_id").alias("keep_id")), "digest-unseen")
+    batch = batch or uuid.uuid4().hex
+    new = written(index.unseen(groups, batch).select("digest", F.col("first_id").alias("keep_id")), "digest-unseen")
     seen = groups.join(new.select("digest"), "digest", "left_anti").join(
-        index.read().withColumnRenamed("keep_id", "seen_id"), "digest"
+        index.before(batch).withColumnRenamed("keep_id", "seen_id"), "digest"
     )
     decided = groups.join(seen.select("digest", "seen_id", F.lit(True).alias("seen")), "digest", "left").select(
         "digest", "group_size", F.when(F.col("seen"), F.col("seen_id")).otherwise(F.col("first_id")).alias("keep_id"),
@@ -99,21 +122,25 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, row: str | None = None) ->
     out = attach(own, written(decided, "digest-decided"), "digest", "group_size").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", *["row"] * bool(row)
     )
-    index.append(new)
+    index.append(new, batch)
     return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row has, by a new index."""
-    rows = numbered(docs)
-    index = DigestIndex.open(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/digest-index-{uuid.uuid4().hex}")
-    kept = exact_dedup(rows.select("row", "document.doc_id", "document.text"), index, "row").where("kept")
-    return rows.join(kept.select("row"), "row", "left_semi").select("document.*")
+    """``docs`` without the rows whose text another row has, by a new index.
+
+    Defined cases as in ``exact_dedup``; all columns stay, whatever their names, and of rows equal in all of them one stays.
+    """
+    rows = by_content(docs)
+    index = DigestIndex.open(docs.sparkSession, new_path(docs.sparkSession, "digest-index"))
+    out = kept_rows(rows, exact_dedup(rows.select("row", "document.doc_id", "document.text"), index, "row"))
+    index.forget()  # what is kept has been decided and written
+    return out
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as one batch against a new index."""
-    index = DigestIndex.open(spark, f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}")
+    index = DigestIndex.open(spark, new_path(spark, "digest-index"))
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), index)
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, id_remainder, numbered, row_of, text_or_empty
+from innsight.llm.common import by_content, documents, id_remainder, text_or_empty
 
 #: Bytes of training text in a dictionary; the models are this bounded sample, nothing more.
 DICTIONARY_BYTES = 192 << 10
@@ -94,8 +94,8 @@ def _encoder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, row: str | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, margin and accepted for every row of ``docs``, and row if ``row`` names a column of row numbers.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """doc_id, lang_pred, score, margin and accepted for every row of ``docs``.
 
     Defined cases: a null or empty text, or one without a letter, is ``und``, score 0, not
     accepted; equal sizes go to the first language by code point and have margin 0, so they aren't
@@ -110,12 +110,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             decided = [classifier.decide(text.as_py()) for text in batch.column(1)]
             lang, score, margin = zip(*decided, strict=True) if decided else ((), (), ())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[2:]], ["doc_id", "lang_pred", "score", "margin", *rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["doc_id", "lang_pred", "score", "margin"])
 
-    rows = ["row"] if row else []
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"), *[row_of(docs, row)] * bool(row))
-    out = own.mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double" + ", row bigint" * len(rows))
-    return out.withColumn("accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= min_margin))
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
+    out = own.mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double")
+    return out.withColumn("accepted", _accepted(F.col("lang_pred"), F.col("margin"), min_margin))
+
+
+def _accepted(lang, margin, min_margin: float):
+    return (lang != UNDETERMINED) & (margin >= min_margin)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -124,12 +127,23 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return own.where(id_remainder(F.col("doc_id"), 4) != 2)
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is told with enough margin, learned from their own labels."""
-    rows = numbered(docs)
-    dictionaries = train_dictionaries(training_rows(docs))
-    told = identify(rows.select("row", "document.doc_id", "document.text"), dictionaries, row="row").where("accepted")
-    return rows.join(told.select("row"), "row", "left_semi").select("document.*")
+def accepted(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """Rows of ``docs`` whose language is told with enough margin, learned from their own labels.
+
+    A projection: rows pass whole, and those that are rejected are left out. Defined cases as in ``identify``; all columns stay,
+    whatever their names, and repeated rows stay repeated.
+    """
+    models = docs.sparkSession.sparkContext.broadcast(train_dictionaries(training_rows(docs)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(models.value)
+        for batch in batches:
+            told = [classifier.decide(text.as_py()) for text in batch.column(0).field(at).cast(pa.string())]
+            yield batch.filter(pa.array([bool(_accepted(lang, margin, min_margin)) for lang, _, margin in told], pa.bool_()))
+
+    rows = by_content(docs).select("document")
+    return rows.mapInArrow(run, rows.schema).select("document.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, numbered, row_of, text_or_empty, written
+from innsight.llm.common import by_content, documents, row_of, text_or_empty, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -166,11 +166,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, row: str | None = N
     )
 
 
+def source_ends(queue: DataFrame) -> DataFrame:
+    """(key, n_epochs, end) by source: its whole epochs in the mix, and the first place (h, id, size) of its queue that the next lacks.
+
+    A source's copies are taken in the order of its queue, so one place per source says which of its documents are taken how often.
+    Rows equal in id and size are one place: all of them are taken or none.
+    """
+    last = last_taken(queue)
+    place = F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size")
+    queue = queue.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))).alias("epoch"))
+    left = queue.where(F.lit(True) if last is None else order_key(F.col("epoch")) > last)
+    ends = left.groupBy(_source_key(F.col("source")).alias("key")).agg(F.min(F.struct("epoch", place.alias("end"))).alias("first"))
+    return ends.select("key", F.col("first.epoch").alias("n_epochs"), F.col("first.end").alias("end"))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The taken copies as rows of ``docs``, in no order: a document taken in two epochs is there twice."""
-    rows = numbered(docs)
-    taken = mix(rows.select("row", "document.doc_id", "document.source", "document.text"), weights, "row")
-    return rows.join(taken.select("row"), "row").select("document.*")
+    """The taken copies as rows of ``docs``, in no order: a document taken in two epochs is there twice.
+
+    Rows stay where they are: each is held against the end of its source's queue. Defined cases as in ``mix``; all columns
+    stay, whatever their names; repeated rows are all taken or none.
+    """
+    rows = by_content(docs)
+    narrow = rows.select("document.doc_id", "document.source", "document.text")
+    ends = written(source_ends(written(queued(narrow, weights), "mix-queue")), "mix-ends")
+    if ends.count() <= RANGE_ROWS:
+        ends = F.broadcast(ends)  # so many sources at most; more are joined as they measure
+    text, doc_id = F.coalesce(F.col("document.text").cast("string"), F.lit("")), F.col("document.doc_id")
+    place = F.struct(
+        queue_hash(doc_id).alias("h"), F.coalesce(doc_id.cast("bigint"), F.lit(-(1 << 63))).alias("id"), word_count(text).alias("size"))
+    placed = rows.select("document", _source_key(F.col("document.source").cast("string")).alias("key"), place.alias("place"))
+    placed = placed.where("place.size > 0").join(ends, "key", "left")
+    times = F.when(F.col("n_epochs").isNull(), MAX_EPOCHS).otherwise(F.col("n_epochs") + (F.col("place") < F.col("end")).cast("int"))
+    return placed.select("document", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("document.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

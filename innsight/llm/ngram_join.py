@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.common import documents, numbered, row_of, slices, text_or_empty, written
+from innsight.llm.common import by_content, documents, kept_rows, row_of, slices, text_or_empty, written
 from innsight.llm.components import attach, connected
 from innsight.llm.word_hashes import Words, words
 
@@ -322,10 +322,13 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component."""
-    rows = numbered(docs)
-    kept = near_duplicates(rows.select("row", "document.doc_id", "document.text"), "row").where("kept")
-    return rows.join(kept.select("row"), "row", "left_semi").select("document.*")
+    """``docs`` with one row of each component.
+
+    Defined cases as in ``near_duplicates``; all columns stay, whatever their names, and of rows equal in all of them one stays.
+    """
+    rows = by_content(docs)
+    own = rows.select("row", "document.doc_id", "document.text")
+    return kept_rows(rows, near_duplicates(own, "row"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

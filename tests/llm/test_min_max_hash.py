@@ -84,7 +84,7 @@ def test_signature_does_not_depend_on_chunks(monkeypatch):
     assert (min_max_hash.min_max(grams) == whole).all()
 
 
-@pytest.mark.parametrize("led,whole,bin_sets", [(4, 24_000, 500), (1, 10, 8), (99, 10, 500)])
+@pytest.mark.parametrize("led,whole,bin_sets", [(4, 24_000, 500), (1, 10, 8)])
 def test_components_equal_all_pairs(spark, monkeypatch, led, whole, bin_sets):
     monkeypatch.setattr(min_max_hash, "LED_BUCKETS", led)
     monkeypatch.setattr(min_max_hash, "WHOLE_CLUSTER", whole)

@@ -7,8 +7,9 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
-from innsight.llm import language_id
+from innsight.llm import common, language_id, mixing
 from tests.llm.test_set_operators import plain_components
 
 
@@ -70,3 +71,35 @@ def test_encoding_stage_equals_the_library(steps):
     rows = steps[5].collect()
     assert collections.Counter(r.doc_id for r in rows) == ids(steps[4])
     assert all(list(r.ids) == lib.encode(texts[r.doc_id], add_eos=True) for r in rows)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_take_odd_and_empty_tables(spark, odd, none, tmp_path, stage):
+    path = str(tmp_path / "docs")
+    odd.withColumn("a.b", F.lit(1)).withColumn("document", F.col("source")).unionByName(
+        odd.where("doc_id IS NULL").withColumn("a.b", F.lit(1)).withColumn("document", F.col("source"))).write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = stage(spark, docs, None)
+    assert out.schema.names == docs.schema.names
+    rows, kept = collections.Counter(map(tuple, docs.collect())), collections.Counter(map(tuple, out.collect()))
+    assert kept and set(kept) <= set(rows)
+    if stage is not corpus_pipeline.mix_sources:
+        assert not kept - rows
+    if stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        texts = collections.Counter(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in kept.elements())
+        blank = {t for t in texts if not t.strip(" ")}
+        assert all(n == 1 for t, n in texts.items() if stage is corpus_pipeline.drop_copies or t not in blank)
+    empty = stage(spark, none, None)
+    assert empty.columns == none.columns and empty.count() == 0
+
+
+def test_mix_stage_takes_what_the_mix_takes(spark, steps):
+    want = collections.Counter(r.doc_id for r in mixing.mix(steps[3]).select("doc_id").collect())
+    assert ids(steps[4]) == want
+
+
+def test_run_leaves_only_its_result(spark, small, tmp_path, monkeypatch):
+    for module in (corpus_pipeline, common):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, small).count() > 0
+    assert [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["pipeline", "sentencepiece"]]

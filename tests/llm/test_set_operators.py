@@ -170,10 +170,27 @@ def test_exact_dedup_in_batches(spark, tmp_path):
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(second, again).collect())
     assert got == [(1, 3, 1, False), (2, 2, 2, False), (2, 2, 2, True)]
     assert again.read().count() == 4
-    plan = again.unseen(again.read().limit(1))._jdf.queryExecution().executedPlan().toString()
+    plan = again.unseen(again.read().limit(1), "another")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_a_repeated_batch_gives_the_same_rows(spark, tmp_path):
+    index = exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", buckets=4)
+    kind = "doc_id bigint, text string"
+    decided = lambda df: sorted((r.doc_id, r.keep_id, r.kept) for r in df.collect())
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], kind)
+    first = decided(exact_dedup.exact_dedup(docs, index, batch="monday"))
+    assert first == [(1, 1, True), (2, 1, False), (3, 3, True)]
+    assert decided(exact_dedup.exact_dedup(docs, index, batch="monday")) == first  # the caller lost the first result
+    assert index.read().count() == 2
+    later = spark.createDataFrame([(0, "b"), (9, "c")], kind)
+    assert decided(exact_dedup.exact_dedup(later, index, batch="tuesday")) == [(0, 3, False), (9, 9, True)]
+    small = index.compacted(f"file://{tmp_path}/copy")
+    assert sorted(map(tuple, small.read().collect())) == sorted(map(tuple, index.read().collect()))
+    assert len(list((tmp_path / "copy").glob("*.parquet"))) <= 4
+    assert decided(exact_dedup.exact_dedup(later, small, batch="wednesday")) == [(0, 3, False), (9, 9, False)]
+
+
 def test_exact_dedup_of_odd_rows(spark, odd, none):
     kept = exact_dedup.deduplicated(odd)
     assert kept.columns == odd.columns
