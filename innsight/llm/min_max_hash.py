@@ -127,10 +127,10 @@ def open_buckets(bands: DataFrame, roots: DataFrame | None, order: int) -> DataF
     placed = _with_component(bands, roots)
     found = placed.groupBy("bucket").agg(
         F.min(F.struct(F.xxhash64("node", F.lit(order)).alias("order"), F.col("node"), F.col("component"))).alias("leader"),
-        F.count(F.lit(1)).alias("sets"), F.min("component").alias("low"), F.max("component").alias("high"))
+        F.min("component").alias("low"), F.max("component").alias("high"))
     found = written(found.where("low <> high").select(
-        "bucket", "sets", F.col("leader.node").alias("leader"), F.col("leader.component").alias("leader_component")), "min-max-buckets")
-    return written(attach(placed, found, "bucket", "sets"), "min-max-open")
+        "bucket", F.col("leader.node").alias("leader"), F.col("leader.component").alias("leader_component")), "min-max-buckets")
+    return written(placed.join(found, "bucket"), "min-max-open")  # no bucket holds more than its band's share of all rows
 
 
 def led_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
