@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The white space of the contracts: space and the five controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Text handled at once in a Python task, whatever the number of rows in an Arrow batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 _OWN_FOLDER: list[str] = []

@@ -13,13 +13,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import by_content, documents, id_remainder, text_or_empty
+from innsight.llm.common import by_content, documents, id_remainder, slices, text_or_empty
 
 #: Bytes of training text in a dictionary; the models are this bounded sample, nothing more.
 DICTIONARY_BYTES = 192 << 10
@@ -134,16 +135,16 @@ def accepted(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     whatever their names, and repeated rows stay repeated.
     """
     models = docs.sparkSession.sparkContext.broadcast(train_dictionaries(training_rows(docs)))
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(models.value)
-        for batch in batches:
-            told = [classifier.decide(text.as_py()) for text in batch.column(0).field(at).cast(pa.string())]
-            yield batch.filter(pa.array([bool(_accepted(lang, margin, min_margin)) for lang, _, margin in told], pa.bool_()))
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
+            told = [classifier.decide(text.as_py()) for text in batch.column("text")]
+            keep = pa.array([bool(_accepted(lang, margin, min_margin)) for lang, _, margin in told], pa.bool_())
+            yield batch.select(["document"]).filter(keep)
 
-    rows = by_content(docs).select("document")
-    return rows.mapInArrow(run, rows.schema).select("document.*")
+    rows = by_content(docs).select(F.coalesce(F.col("document.text").cast("string"), F.lit("")).alias("text"), "document")
+    return rows.mapInArrow(run, rows.select("document").schema).select("document.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
