@@ -63,7 +63,11 @@ def t_tail(t: str, dof: str) -> str:
     area = (f"list_sum(list_transform(range(0, {n + 1}), lambda i: "
             f"(case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end) "
             f"* pow(cos(least(pi() / 2, {low} + i * {step})), {dof} - 1))) * {step} / 3")
-    const = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi())"
+    # with many degrees of freedom the difference of two large logarithms loses digits; a series in 2 / dof doesn't
+    x = f"({dof} / 2.0)"
+    series = (f"sqrt({x}) * (1 - 1 / (8 * {x}) + 1 / (128 * pow({x}, 2)) + 5 / (1024 * pow({x}, 3)) "
+              f"- 21 / (32768 * pow({x}, 4)) - 399 / (262144 * pow({x}, 5)))")
+    const = f"(case when {dof} >= 100 then {series} else exp(lgamma({x} + 0.5) - lgamma({x})) end / sqrt(pi()))"
     return f"(case when {t} = 'inf'::double then 0.0 else {const} * {area} end)"
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +29,9 @@ def read_frame(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
     CSV columns stay text. ``multiline=False`` lets Spark split a large CSV whose quoted
     fields hold no line breaks.
     """
-    kind = _kind(str(path))
+    kind = kind_of(str(path))
     if not kind and _is_folder(spark, str(path)):
-        kind = next(map(_kind, _entries(spark, str(path))[0]), "")  # a folder of part files
+        kind = next(map(kind_of, _entries(spark, str(path))[0]), "")  # a folder of part files
     if kind == ".csv":
         return spark.read.csv(str(path), header=True, multiLine=multiline, escape='"')
     if kind in (".json", ".jsonl"):
@@ -39,13 +39,26 @@ def read_frame(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
     raise SchemaError(f"{path}: only {', '.join(SUFFIXES)} can be read")
 
 
-def _kind(path: str) -> str:
+def kind_of(path: str) -> str:
     name = path.rstrip("/").lower()
     return next((s for s in SUFFIXES if name.endswith(s)), "")
 
 
 def load_reviews(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    return validate_reviews(drop_identity_columns(read_frame(spark, path, multiline)))
+    """One export, without reviewer identity, validated."""
+    return _loaded(spark, [str(path)], multiline).drop(*_OWN)
+
+
+_OWN = ("_export", "_place")
+
+
+def _loaded(spark: SparkSession, exports: list[str], multiline: bool, shape=None) -> DataFrame:
+    from innsight.sources.exports import read_exports, validated
+
+    for path in exports:
+        if not kind_of(path) and part_files(spark, path) is None:
+            raise SchemaError(f"{path}: only {', '.join(SUFFIXES)} can be read")
+    return validated(read_exports(spark, exports, multiline, shape))
 
 
 def drop_identity_columns(df: DataFrame) -> DataFrame:
@@ -84,6 +97,30 @@ class DateRule:
         return F.when(text.rlike(self.pattern), joined)
 
 
+#: How a column of dates can be written, by the layout's name: text to a naive local timestamp.
+LAYOUTS = {
+    "iso": lambda text: _iso_to_local(text),
+    "year_first": lambda text: DateRule(_YEAR_FIRST, (1, 2, 3, 4)).iso(text).try_cast("timestamp_ntz"),
+    "month_first": lambda text: DateRule(_DAY_MONTH, (4, 1, 3, 5)).iso(text).try_cast("timestamp_ntz"),
+    "day_first": lambda text: DateRule(_DAY_MONTH, (4, 3, 1, 5)).iso(text).try_cast("timestamp_ntz"),
+    "day_named": lambda text: DateRule(*_NAMED[0], named_month=True).iso(text).try_cast("timestamp_ntz"),
+    "named_day": lambda text: DateRule(*_NAMED[1], named_month=True).iso(text).try_cast("timestamp_ntz"),
+}
+
+
+def layout_of(first: Column) -> Column:
+    """The layout that a first value shows, as ``_infer_rule`` reads it; null for none."""
+    return (
+        F.when(first.rlike(_ISO), "iso").when(first.rlike(_YEAR_FIRST), "year_first")
+        .when(first.rlike(_DAY_MONTH), F.when(F.regexp_extract(first, _DAY_MONTH, 1).cast("int") <= 12, "month_first").otherwise("day_first"))
+        .when(first.rlike(_NAMED[0][0]), "day_named").when(first.rlike(_NAMED[1][0]), "named_day"))
+
+
+def epoch_unit(biggest: Column) -> Column:
+    """Ticks per second of a column of Unix times, by its largest magnitude."""
+    return F.when(biggest < 1e11, 1).when(biggest < 1e14, 1000).when(biggest < 1e17, 1_000_000).otherwise(1_000_000_000).cast("decimal(20,1)")
+
+
 def _infer_rule(first: str) -> DateRule | None:
     """None for ISO text; otherwise the layout of the first value (month first if it fits)."""
     text = first.strip()
@@ -105,10 +142,8 @@ def _to_local(utc: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(config.LOCAL_TZ), utc)
 
 
-def _from_epoch(value: Column, biggest: float) -> Column:
-    per_second = 1.0 if biggest < 1e11 else 1e3 if biggest < 1e14 else (
-        1e6 if biggest < 1e17 else 1e9)
-    seconds = (value.cast("decimal(38,6)") / F.lit(per_second).cast("decimal(20,1)"))
+def from_epoch(value: Column, unit: Column) -> Column:
+    seconds = value.cast("decimal(38,6)") / unit
     start = F.lit("1970-01-01").cast("timestamp_ntz")
     return _to_local(start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
 
@@ -144,7 +179,7 @@ def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
     if seen["numbers"] == seen["n"]:
         value = F.col(column) if isinstance(dtype, T.IntegralType) else text.try_cast(
             "decimal(38,6)")
-        return df.withColumn(column, _from_epoch(value, seen["biggest"]))
+        return df.withColumn(column, from_epoch(value, epoch_unit(F.lit(seen["biggest"]))))
     first = df.where(F.col(column).isNotNull()).select(text.alias("t")).first()["t"]
     rule = _infer_rule(first)
     parsed = _iso_to_local(text) if rule is None else rule.iso(text).try_cast("timestamp_ntz")
@@ -158,7 +193,7 @@ def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
 # --- I6: validation -----------------------------------------------------------------------------
 
 
-def _require_columns(df: DataFrame) -> None:
+def require_columns(df: DataFrame) -> None:
     missing = [c for c in config.REQUIRED_COLUMNS if c not in df.columns]
     if missing:
         raise SchemaError(f"no column for required {', '.join(missing)}")
@@ -168,7 +203,7 @@ def _blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]")
 
 
-def _faults() -> dict[str, Column]:
+def faults() -> dict[str, Column]:
     """What makes a row unusable, by name, in the order in which it is reported."""
     low, high = config.RATING_RANGE
     rating = F.col("rating").try_cast("double")
@@ -182,19 +217,19 @@ def _faults() -> dict[str, Column]:
 
 def validate_reviews(df: DataFrame) -> DataFrame:
     """Check a review frame with one aggregate; the error counts the rows of every fault there is."""
-    _require_columns(df)
+    require_columns(df)
     df = parse_dates(df)
-    faults = _faults()
-    counts = df.agg(*[F.count_if(rule).alias(name) for name, rule in faults.items()]).first()
-    if found := [f"{name}: {counts[name]}" for name in faults if counts[name]]:
+    judged = faults()
+    counts = df.agg(*[F.count_if(rule).alias(name) for name, rule in judged.items()]).first()
+    if found := [f"{name}: {counts[name]}" for name in judged if counts[name]]:
         raise SchemaError(f"unusable reviews ({'; '.join(found)})")
     return df.withColumn("rating", F.col("rating").try_cast("double")).withColumn("text", F.col("text").cast("string"))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with ``reason``): the form for data too large to refuse."""
-    _require_columns(df)
-    reason = F.coalesce(*[F.when(rule, name) for name, rule in _faults().items()])
+    require_columns(df)
+    reason = F.coalesce(*[F.when(rule, name) for name, rule in faults().items()])
     judged = df.withColumn("reason", reason)
     valid = judged.where(F.col("reason").isNull()).drop("reason")
     return (valid.withColumn("rating", F.col("rating").try_cast("double")),
@@ -238,12 +273,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(place) and system.getFileStatus(place).isDirectory()
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as listings write it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def part_files(spark: SparkSession, export: str) -> list[str] | None:
+    """The review files of an export that is a folder; None for a file."""
+    return _entries(spark, export)[0] if _is_folder(spark, export) else None
+
+
 def _entries(spark: SparkSession, directory: str) -> tuple[list[str], list[str]]:
     """(review files, folders) of a folder on any Hadoop file system, sorted by path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     status = list(path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
     names = [(s.getPath().toString(), s.isFile()) for s in status]
-    return sorted(n for n, file in names if file and _kind(n)), sorted(n for n, file in names if not file)
+    return sorted(n for n, file in names if file and kind_of(n)), sorted(n for n, file in names if not file)
 
 
 def list_files(spark: SparkSession, directory: str) -> list[str]:
@@ -254,21 +300,22 @@ def list_files(spark: SparkSession, directory: str) -> list[str]:
     files, folders = _entries(spark, str(directory))
     if files and all(f.rsplit("/", 1)[-1].startswith("part-") for f in files):
         return [str(directory)]
-    return sorted(files + [f for f in folders if _kind(f)])
+    return sorted(files + [f for f in folders if kind_of(f)])
 
 
 def load_dir(spark: SparkSession, directory: str, multiline: bool = True,
              dropped: Observation | None = None) -> DataFrame:
-    """Every export of a folder, validated one by one, without the rows an earlier export had.
+    """Every export of a folder, each by its own rules, without the rows an earlier export (by path) had.
+
+    Files with one header are one scan; the number of jobs doesn't depend on the number of files.
 
     ``dropped`` observes ``rows`` before and ``repeats``, those of them that are dropped.
     """
     exports = list_files(spark, directory)
     if not exports:
         raise FileNotFoundError(f"{directory} holds no review export")
-    frames = [load_reviews(spark, f, multiline).withColumn("_file", F.lit(i)) for i, f in enumerate(exports)]
-    combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return drop_repeats_across_files(combined, dropped=dropped).drop("_file")
+    combined = _loaded(spark, exports, multiline)
+    return drop_repeats_across_files(combined, "_export", dropped).drop(*_OWN)
 
 
 # --- I8-I9: partner exports -------------------------------------------------------------------
@@ -287,8 +334,8 @@ def _claims(columns: list[str], fields: list[str], mapping: dict[str, str]) -> l
     return rows
 
 
-def map_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Select an export's columns under their canonical names.
+def map_columns(df: DataFrame, mapping: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Select an export's columns under their canonical names, and those of ``keep`` as they are.
 
     Each field goes to the column that claims it with the best priority; a column that is mapped, or
     serves an earlier field, claims no other. Two columns with equal claims are an error.
@@ -300,7 +347,7 @@ def map_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFra
     wrong |= {f"column used twice: {c}" for c in mapping.values() if [*mapping.values()].count(c) > 1}
     if wrong:
         raise SchemaError("mapping: " + "; ".join(sorted(wrong)))
-    claims = _claims(df.columns, fields, mapping)
+    claims = _claims([c for c in df.columns if c not in keep], fields, mapping)
     chosen: dict[str, str] = dict(mapping)
     for field in fields:
         open_claims = [(p, c) for f, p, c in claims if f == field and c not in chosen.values()]
@@ -311,7 +358,7 @@ def map_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFra
             chosen[field] = best[0]
     if absent := [f for f in config.REQUIRED_COLUMNS if f not in chosen]:
         raise SchemaError(f"no column for required {', '.join(absent)}")
-    return df.select(*[F.col(f"`{chosen[f]}`").alias(f) for f in fields if f in chosen])
+    return df.select(*[F.col(f"`{chosen[f]}`").alias(f) for f in fields if f in chosen], *keep)
 
 
 def adapt_frame(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -319,9 +366,11 @@ def adapt_frame(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFra
     return validate_reviews(map_columns(drop_identity_columns(df), mapping))
 
 
-def load_source(spark: SparkSession, path: str,
-                mapping: dict[str, str] | None = None) -> DataFrame:
-    return adapt_frame(read_frame(spark, path), mapping)
+def load_source(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, multiline: bool = True) -> DataFrame:
+    """A partner's export: identity dropped before anything is renamed, columns mapped, validated."""
+    from innsight.sources.exports import mapped
+
+    return _loaded(spark, [str(path)], multiline, mapped(mapping)).drop(*_OWN)
 
 
 # --- I10-I11: ids ---------------------------------------------------------------------------------

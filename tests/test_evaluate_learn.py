@@ -94,9 +94,12 @@ def test_stream_equals_batch(spark, tmp_path):
         StructField(c, StringType()) for c in ("property_id", "date", "text")])
     spark.createDataFrame(rows, schema).write.json(str(tmp_path / "in"))
     stream = label_stream.label_stream(
-        label_stream.read_review_stream(spark, str(tmp_path / "in"), schema))
+        label_stream.read_review_stream(spark, str(tmp_path / "in"), schema), limit=config.TEXT_LIMIT)
     label_stream.start_labelling(stream, str(tmp_path / "out"), str(tmp_path / "cp"),
                                  available_now=True).awaitTermination()
     got = {r["review_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1]["aspect"] == "Food" and got[1]["sentiment"] == 1
     assert got[2]["rejected"] == "empty text" and "longer" in got[3]["rejected"]
+    whole = label_stream.label_stream(label_stream.read_review_stream(spark, str(tmp_path / "in"), schema))
+    label_stream.start_labelling(whole, str(tmp_path / "out2"), str(tmp_path / "cp2"), available_now=True).awaitTermination()
+    assert {r["review_id"] for r in spark.read.parquet(str(tmp_path / "out2")).where("rejected IS NOT NULL").collect()} == {2}
