@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,7 +176,7 @@ class Cluster:
 
     # -- export --
     def export_snapshot(self, folder: str, fix_checks: bool = False) -> list[str]:
-        """Every table of the static site as JSON, one folder each."""
+        """Every table of the static site as JSON, published together with their meta data."""
         destination = self.destination_summary()
         tables = {
             "scorecards": self.benchmark(), "priorities": self.all_priorities(),
@@ -189,7 +190,10 @@ class Cluster:
             tables["neighbourhoods"] = self.neighbourhoods()
         if fix_checks:
             tables["fix_checks"] = self.fix_check_grid()
-        return sinks.write_snapshot(tables, folder)
+        tables["properties"] = self.list_properties()
+        return sinks.write_snapshot(tables, folder, {
+            "is_synthetic": self.is_synthetic, "source_name": self.source_name, "aspects": self.list_aspects(),
+            "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "locations_exact": self.is_synthetic})
 
 
 def cluster_from_reviews(reviews: DataFrame, locations: DataFrame | None = None,

@@ -240,6 +240,13 @@ ORACLES["i7_parse_epoch"] = """select o_orderkey,
 ORACLES["i8_map_columns"] = """select source as property_id, lang as platform,
     '2024-01-05' as date, 1 + doc_id % 5 as rating, text, lang as language_hint,
     doc_id as review_id from documents"""
+ORACLES["i1_read_json"] = "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents"
+_EXPORTED = f"""select doc_id::varchar as review_id, coalesce(source, 'none') as property_id, coalesce(lang, 'none') as platform,
+    date '2024-01-01' + (doc_id * 7 % 700)::int as date, (1 + doc_id % 5)::double as rating,
+    md5(case when text is null or regexp_full_match(text, '{BLANK}*') then '(no text)' else text end) as text_md5, 7 as n_columns from documents"""
+ORACLES["i2_load_reviews"] = _EXPORTED
+ORACLES["i3_load_dir"] = _EXPORTED
+ORACLES["i9_adapt_export"] = _EXPORTED
 ORACLES["i10_assign_ids"] = """select lang as property_id, count(*) as n, count(*) as n_ids
     from documents group by 1"""
 ORACLES["i11_property_ids"] = "select s_suppkey, trim(s_name) as property_id from supplier"
@@ -790,6 +797,11 @@ ORACLES["x1_search_all"] = _sql(f"""{_FOUND} left join (select review_id, aspect
     from doc_mentions) m using (review_id) where property_id = 'src7'""")
 ORACLES["x2_snapshot_json"] = _sql(f"""select property_id, aspect, date_trunc('month', date)::date as month,
     {r6('avg(sentiment)')} as mean, count(*) as n from mentions group by 1, 2, 3""")
+ORACLES["x2_snapshot_scorecards"] = ORACLES["b5_benchmark_tests"]
+ORACLES["x2_snapshot_scope"] = ORACLES["s1_market_scope"]
+ORACLES["x2_snapshot_mentions"] = ORACLES["t9_label_reviews"]
+ORACLES["x2_snapshot_meta"] = _sql("""select count(*) as n_reviews, strftime(min(date), '%Y-%m-%d') as date_min,
+    strftime(max(date), '%Y-%m-%d') as date_max, 'documents' as source_name, count(*) as rows, true as files_bounded from docs""")
 ORACLES["x3_csv"] = "select doc_id, md5(text) as text_md5 from documents"
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
@@ -881,6 +893,7 @@ CTES["vocab"] = f"""select term, ln((1.0 + (select count(*) from conversations))
 ORACLES["l1_features"] = _sql("""select term, count(*) as df, sum(cnt)::bigint as total from terms group by 1""")
 ORACLES["l4_tfidf_terms"] = _sql(f"""select id, term, {r6('w / sqrt(sum(w * w) over (partition by id))')} as value
     from (select id, term, (1 + ln(cnt)) * idf as w from terms join vocab using (term))""")
+ORACLES["l4_vocabulary"] = _sql(f"select term, {r6('idf')} as idf from vocab")
 ORACLES["l2_corpus"] = _sql(f"""select review_id as id, case rank when 1 then 'train' when 2 then 'dev' else 'test' end
     as split, platform as source from (select *, row_number() over (partition by norm
       order by rank, review_id) as rn from (select *, case when review_id % 5 < 3 then 1 when review_id % 5 = 3
@@ -917,3 +930,37 @@ ORACLES["l3_stratified_splits"] = _sql(f"""select doc_id as id, label, {_split('
 ORACLES["l6_majority_baseline"] = _sql(f"""select source, n, {r6('2 * top / (n + top) / 3')} as macro_f1 from (
     select source, sum(k)::bigint as n, max(k) as top from (select source, label, count(*) as k
     from train_rows group by all) group by 1)""")
+CTES["given_scores"] = """select c.id, c.label, coalesce(s, 0) + (case c.label when -1 then 0.1::double when 0 then 0.05::double else 0::double end) as score
+    from (select conv_id || '-' || turn as id, unnest([-1, 0, 1]) as label from conversations) c
+    left join (select id, label, sum(w * (((ascii(right(term, 1)) * (label + 3) + length(term) * 5) % 13 - 6) / 6.0::double)) / any_value(norm) as s
+      from (select *, unnest([-1, 0, 1]) as label from (select id, term, w, sqrt(sum(w * w) over (partition by id)) as norm
+        from (select id, term, (1 + ln(cnt)) * idf as w from terms join vocab using (term)))) group by 1, 2) t
+    on t.id = c.id and t.label = c.label"""
+ORACLES["l5_score_texts"] = _sql(f"""select id, label as pred, {r6('score - next')} as margin from (
+    select *, row_number() over (partition by id order by score desc, label) as rk,
+      lead(score) over (partition by id order by score desc, label) as next from given_scores) where rk = 1""")
+CTES["report_rows"] = f"""select *, {clause_score('norm', tokens('norm'))} as rules, 'town' || (id % 7 % 3) as town, (id % 3 - 1)::int as sign
+    from (select l.doc_id as id, d.lang as source, d.source as grp, case when toxic = 1 then -1 when quality = 1 then 1 else 0 end as gold,
+      {norm('text')} as norm from labels l join documents d using (doc_id))"""
+CTES["report_towns"] = """select source, town from report_rows group by all
+    having count(*) >= greatest(1, (select count(*) from report_rows) // 9)"""
+CTES["report_tests"] = """select r.id, r.source, grp, gold, t.town, unnest(['rules', 'sign']) as system, unnest([rules, sign]) as pred
+    from report_rows r left join report_towns t on r.source is not distinct from t.source and r.town = t.town where substr(md5(r.id::varchar), 1, 1) < '4'"""
+CTES["report_cells"] = """
+    select system, '*' as source, '*' as grp, '*' as town, gold, pred, count(*) as n from report_tests group by all
+    union all select system, source, '*', '*', gold, pred, count(*) from report_tests where source is not null group by all
+    union all select system, source, grp, '*', gold, pred, count(*) from report_tests where source is not null and grp is not null group by all
+    union all select system, source, '*', town, gold, pred, count(*) from report_tests where source is not null and town is not null group by all"""
+_CLASSES = """select system, source, grp, town, label, coalesce(sum(n) filter (gold = label and pred = label), 0)::double as tp,
+    coalesce(sum(n) filter (gold <> label and pred = label), 0)::double as fp, coalesce(sum(n) filter (gold = label and pred <> label), 0)::double as fn
+    from (select *, unnest([-1, 0, 1]) as label from report_cells) group by 1, 2, 3, 4, 5"""
+_F1 = "case when tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end"
+ORACLES["l6_class_report"] = _sql(f"""select system, source, grp as "group", town, label,
+    {r6('case when tp + fp > 0 then tp / (tp + fp) else 0 end')} as precision,
+    {r6('case when tp + fn > 0 then tp / (tp + fn) else 0 end')} as recall, {r6(_F1)} as f1, (tp + fn)::bigint as support from ({_CLASSES})""")
+ORACLES["l6_confusion"] = _sql("""select system, source, grp as "group", town, gold, coalesce(sum(n) filter (pred = -1), 0)::bigint as as_0,
+    coalesce(sum(n) filter (pred = 0), 0)::bigint as as_1, coalesce(sum(n) filter (pred = 1), 0)::bigint as as_2 from report_cells group by 1, 2, 3, 4, 5""")
+ORACLES["l6_test_report"] = _sql(f"""select c.*, {r6('f.macro')} as macro_f1 from (select system, source, grp as "group", town, sum(n)::bigint as n,
+    {r6('coalesce(sum(n) filter (gold = pred), 0) / sum(n)')} as accuracy from report_cells group by 1, 2, 3, 4) c
+    join (select system, source, grp, town, avg({_F1}) as macro from ({_CLASSES}) group by 1, 2, 3, 4) f
+    on c.system = f.system and c.source = f.source and c."group" = f.grp and c.town = f.town""")

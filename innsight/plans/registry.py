@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,64 @@ def _overlapping(spark, sf_dir):
         (F.col("doc_id") % 4).cast("int").alias("_file"))
 
 
+def _exported(spark, sf_dir):
+    """Documents as reviews that a loader accepts: blank texts say so, dates and ratings are text."""
+    docs = adapters.reviews_doc(spark, sf_dir)
+    text = F.when(sources._blank(F.col("text")), "(no text)").otherwise(F.col("text"))
+    return docs.select(
+        F.col("review_id").cast("string").alias("review_id"), F.coalesce("property_id", F.lit("none")).alias("property_id"),
+        F.coalesce("platform", F.lit("none")).alias("platform"), F.col("date").cast("string").alias("date"),
+        F.col("rating").cast("string").alias("rating"), text.alias("text"), F.coalesce("language_hint", F.lit("none")).alias("language_hint"), F.lit("someone").alias("reviewer_name"))
+
+
+def _read_back(loaded):
+    return loaded.select("review_id", "property_id", "platform", F.col("date").cast("date").alias("date"), "rating",
+                         F.md5("text").alias("text_md5"), *[F.lit(len(loaded.columns)).alias("n_columns")])
+
+
+@query
+def i1_read_json(spark, sf_dir):
+    """Documents as JSON lines, read as they are."""
+    folder = staged_path(spark, "export")
+    sinks.write_json(table(spark, sf_dir, "documents"), f"{folder}/docs.jsonl")
+    raw = sources.read_frame(spark, f"{folder}/docs.jsonl")
+    return raw.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query
+def i2_load_reviews(spark, sf_dir):
+    """A CSV export with named months, without its reviewers."""
+    rows = _exported(spark, sf_dir).withColumn("date", F.date_format(F.to_date("date"), "d MMMM yyyy"))
+    folder = staged_path(spark, "export")
+    sinks.write_csv(rows, f"{folder}/reviews.csv")
+    return _read_back(sources.load_reviews(spark, f"{folder}/reviews.csv"))
+
+
+@query
+def i3_load_dir(spark, sf_dir):
+    """Three exports with headers and date layouts of their own; the second repeats half of the first."""
+    rows, folder, k = _exported(spark, sf_dir), staged_path(spark, "exports"), F.col("review_id").cast("long") % 4
+    sinks.write_csv(rows.where(k < 2), f"{folder}/a.csv")
+    other = rows.where(k.between(1, 2)).select(
+        "text", "rating", "property_id", F.date_format(F.to_date("date"), "yyyy/M/d").alias("date"), "review_id", "platform", "language_hint")
+    sinks.write_csv(other, f"{folder}/b.csv")
+    # noon in the local zone, as milliseconds
+    millis = (F.unix_date(F.to_date("date")).cast("long") * 86400 + 12 * 3600 - 19800) * 1000
+    sinks.write_json(rows.where(k == 3).withColumn("date", millis), f"{folder}/c.jsonl")
+    return _read_back(sources.load_dir(spark, folder))
+
+
+@query
+def i9_adapt_export(spark, sf_dir):
+    """A partner's export under its own names: two mapped, the others known by alias."""
+    rows, folder = _exported(spark, sf_dir), staged_path(spark, "export")
+    theirs = rows.select(
+        F.col("text").alias("review body"), F.col("rating").alias("Stars"), F.col("property_id").alias("hotel_code"), F.col("platform").alias("Channel"),
+        F.col("date").alias("Review-Date"), F.col("review_id").alias("Review ID"), F.col("reviewer_name").alias("Reviewer_Name"), F.col("language_hint").alias("Language"))
+    sinks.write_csv(theirs, f"{folder}/partner.csv")
+    return _read_back(sources.load_source(spark, f"{folder}/partner.csv", {"property_id": "hotel_code", "text": "review body"}))
+
+
 @query
 def i4_cross_file_repeats(spark, sf_dir):
     kept = sources.drop_repeats_across_files(_overlapping(spark, sf_dir))
@@ -836,13 +895,48 @@ def _sink_folder(spark, df):
     return staged_path(spark, "sink")
 
 
+def _snapshot(spark, rows, name, **info):
+    folder = staged_path(spark, "snapshot")
+    sinks.write_snapshot({name: rows}, folder, info, rows_per_file=5_000)
+    return folder
+
+
 @query
 def x2_snapshot_json(spark, sf_dir):
-    """Trends written as partitioned JSON and read back."""
+    """Trends published in a snapshot and read back."""
     rows = rounded(units.trend(planted(spark, sf_dir)), "mean")
-    folder = _sink_folder(spark, rows)
-    sinks.write_snapshot({"trends": rows}, folder)
-    return spark.read.schema(rows.schema).json(f"{folder}/trends")
+    return sinks.read_snapshot(spark, _snapshot(spark, rows, "trends"), "trends")
+
+
+@query
+def x2_snapshot_scorecards(spark, sf_dir):
+    rows = b5_benchmark_tests(spark, sf_dir)
+    return sinks.read_snapshot(spark, _snapshot(spark, rows, "scorecards"), "scorecards")
+
+
+@query
+def x2_snapshot_scope(spark, sf_dir):
+    rows = s1_market_scope(spark, sf_dir)
+    return sinks.read_snapshot(spark, _snapshot(spark, rows, "market_scope"), "market_scope")
+
+
+@query
+def x2_snapshot_mentions(spark, sf_dir):
+    rows = t9_label_reviews(spark, sf_dir)
+    return sinks.read_snapshot(spark, _snapshot(spark, rows, "mentions"), "mentions")
+
+
+@query
+def x2_snapshot_meta(spark, sf_dir):
+    """What the manifest says of the documents, published as reviews."""
+    folder = _snapshot(spark, adapters.reviews_doc(spark, sf_dir), "reviews", source_name="documents")
+    found = sinks.manifest(spark, folder)
+    files = spark.read.json(f"{folder}/{found['run']}/reviews").select("review_id", F.col("_metadata.file_path").alias("file"))
+    largest = files.groupBy("file").count().agg(F.max("count").alias("n"))
+    meta = F.lit(json.dumps(found["meta"] | {"rows": found["tables"]["reviews"]["rows"]}))
+    return largest.select(
+        F.from_json(meta, "n_reviews bigint, date_min string, date_max string, source_name string, rows bigint").alias("m"),
+        (F.col("n") <= 5_000).alias("files_bounded")).select("m.*", "files_bounded")
 
 
 @query
@@ -1009,6 +1103,13 @@ def l4_tfidf_terms(spark, sf_dir):
         F.broadcast(vocab.select("idx", "term")), "idx").select("id", "term", "value"), "value")
 
 
+@query
+def l4_vocabulary(spark, sf_dir):
+    """The vocabulary by a sketch of few slots, so that both its bounds and its second count are used."""
+    texts = spread_scan(table(spark, sf_dir, "conversations")).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return rounded(learn.bounded_vocabulary(texts, texts.count(), slots=1 << 14).select("term", "idf"), "idf")
+
+
 @query
 def l4_train(spark, sf_dir):
     rows = learn.stratified_splits(_training_rows(spark, sf_dir))
@@ -1016,15 +1117,31 @@ def l4_train(spark, sf_dir):
     return tuning
 
 
+def _given_model(spark, sf_dir):
+    """The conversations' vocabulary with coefficients given by a rule, so that scores can be checked without training."""
+    texts = spread_scan(table(spark, sf_dir, "conversations")).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    vocab = stage(learn.vocabulary(stage(learn.term_counts(texts), "terms"), texts.count()), "vocab")
+    coefs = vocab.select("idx", "term", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("label"))
+    given = ((F.ascii(F.substring("term", -1, 1)) * (F.col("label") + 3) + F.length("term") * 5) % 13 - 6) / 6.0
+    return texts, learn.TextModel(vocab, coefs.select("idx", "label", given.alias("coef")), {-1: 0.1, 0: 0.05, 1: 0.0})
+
+
 @query
 def l5_score_texts(spark, sf_dir):
+    texts, model = _given_model(spark, sf_dir)
+    return rounded(learn.score_texts(texts, model), "margin")
+
+
+@query
+def l5_score_trained(spark, sf_dir):
+    """Documents scored by a model that is trained on them."""
     rows = stage(learn.stratified_splits(_training_rows(spark, sf_dir)), "rows")
     model, _ = learn.train(rows)
-    return learn.score_texts(rows.select("id", "text"), model)
+    return learn.score_texts(rows.select("id", "text"), model).select("id", "pred")
 
 
 def _rule_scored(spark, sf_dir):
-    """Lexicon scores of labelled documents (whole text as one clause) on the test split."""
+    """Lexicon scores of the labelled documents of all splits, each whole text as one clause."""
     rows = learn.grouped_splits(_training_rows(spark, sf_dir))
     norm = tx.normalise(F.col("text"))
     return rows.select("id", "source", "group", "split", F.col("label").alias("gold"),
@@ -1033,10 +1150,32 @@ def _rule_scored(spark, sf_dir):
         tx.rule_sentiment(F.col("norm"), tx.tokenise(F.col("norm")), TEST_LEXICON).alias("pred"))
 
 
+REPORT_KEYS = ["system", "source", "group", "town"]
+
+
+def _report(spark, sf_dir):
+    """Confusion counts on the test split: the rules beside a second system, with the larger towns apart."""
+    towns = F.concat(F.lit("town"), (F.col("id") % 7 % 3).cast("string"))
+    rows = stage(_rule_scored(spark, sf_dir).select("id", "source", "group", "split", "gold", F.col("pred").alias("rules"), towns.alias("town")), "report")
+    test = rows.where(F.substring(F.md5(F.col("id").cast("string")), 1, 1) < "4").withColumn("sign", (F.col("id") % 3 - 1).cast("int"))
+    total = rows.count()
+    return learn.report_cells(test, rows, ["rules", "sign"], ["group", "town"], "town", min_town=max(1, total // 9))
+
+
+@query
+def l6_class_report(spark, sf_dir):
+    return rounded(learn.class_report(_report(spark, sf_dir), REPORT_KEYS), "precision", "recall", "f1")
+
+
+@query
+def l6_confusion(spark, sf_dir):
+    return learn.confusion_table(_report(spark, sf_dir), REPORT_KEYS)
+
+
 @query
 def l6_test_report(spark, sf_dir):
-    return rounded(learn.test_report(_rule_scored(spark, sf_dir), ["group"]),
-                   "accuracy", "macro_f1")
+    """n, accuracy and macro F1 of rules and a second system, per source, group and larger town of the test split."""
+    return rounded(learn.macro_from_cells(_report(spark, sf_dir), REPORT_KEYS), "accuracy", "macro_f1")
 
 
 @query

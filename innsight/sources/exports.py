@@ -58,11 +58,11 @@ def _own_path(path: Column | str) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _groups(spark: SparkSession, files: list[str], multiline: bool) -> list[DataFrame]:
-    """One frame per CSV header, one for JSON arrays and one for JSON lines."""
+def _groups(spark: SparkSession, files: dict[str, str], multiline: bool) -> list[DataFrame]:
+    """One frame per CSV header, one for JSON arrays and one for JSON lines; a folder's name says what its parts are."""
     by_kind = defaultdict(list)
-    for f in files:
-        by_kind[rules.kind_of(f)].append(f)
+    for f, export in sorted(files.items()):
+        by_kind[rules.kind_of(export) or rules.kind_of(f)].append(f)
     tables = by_kind[".csv"]
     by_header = defaultdict(list)
     with ThreadPoolExecutor(16) as pool:
@@ -95,13 +95,19 @@ def read_exports(
     # within a file rows are numbered in their order; a file that is split is numbered from each block
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     frames = []
-    for frame in _groups(spark, sorted(files), multiline):
+    for frame in _groups(spark, files, multiline):
         marked = rules.drop_identity_columns(frame.select("*", export.alias(EXPORT), place.alias(PLACE)))
         frames.append(shape(marked, [EXPORT, PLACE]) if shape else marked)
     if not frames:
         raise rules.SchemaError(f"no records in {', '.join(exports[:SHOWN])}")
+    kinds = defaultdict(set)
     for frame in frames:
         rules.require_columns(frame)
+        for name, kind in frame.dtypes:
+            kinds[name].add(kind)
+    # numbers in one export may be text in another
+    mixed = {name for name, found in kinds.items() if len(found) > 1}
+    frames = [f.withColumns({c: F.col(f"`{c}`").cast("string") for c in f.columns if c in mixed}) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -103,3 +103,43 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = label_stream.label_stream(label_stream.read_review_stream(spark, str(tmp_path / "in"), schema))
     label_stream.start_labelling(whole, str(tmp_path / "out2"), str(tmp_path / "cp2"), available_now=True).awaitTermination()
     assert {r["review_id"] for r in spark.read.parquet(str(tmp_path / "out2")).where("rejected IS NOT NULL").collect()} == {2}
+
+
+def _texts(spark):
+    words = ["good room", "bad food", "the staff was good", "no water", "room room room", "", None, "food was bad bad", "good good view", "the view"]
+    return spark.createDataFrame([(i, words[i % 10] + f" w{i % 4}" if words[i % 10] is not None else None) for i in range(60)], "id int, text string")
+
+
+@pytest.mark.parametrize("slots,features", [(1 << 20, 60_000), (8, 25), (4, 40), (64, 10)])
+def test_bounded_vocabulary_is_the_vocabulary(spark, slots, features):
+    texts = _texts(spark)
+    want = learn.vocabulary(learn.term_counts(texts), 60, 3, features).orderBy("idx").collect()
+    assert learn.bounded_vocabulary(texts, 60, 3, features, slots).orderBy("idx").collect() == want
+
+
+def test_scores_in_rows_equal_joined_terms(spark):
+    texts = _texts(spark)
+    vocab = learn.vocabulary(learn.term_counts(texts), 60).cache()
+    coefs = vocab.select("idx", F.explode(F.array(F.lit(-1), F.lit(1))).alias("label")).withColumn("coef", ((F.col("idx") * 7 * F.col("label")) % 5).cast("double"))
+    model = learn.TextModel(vocab, coefs, {-1: 0.2, 1: 0.2})
+    scored = learn.score_texts(texts, model)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    sums = {(r["id"], r["label"]): r["s"] for r in learn.weighted_terms(learn.term_counts(texts), vocab).join(coefs, "idx").groupBy("id", "label").agg(
+        F.sum(F.col("value") * F.col("coef")).alias("s")).collect()}
+    for r in scored.collect():
+        low, high = sums.get((r["id"], -1), 0.0), sums.get((r["id"], 1), 0.0)
+        assert abs(r["margin"] - abs(low - high)) < 1e-9 and (r["pred"] == (1 if high > low + 1e-12 else -1) or abs(low - high) < 1e-9)
+
+
+def test_report_levels_and_town_rule(spark):
+    rows = [(i, "a" if i < 8 else "b", "x" if i % 2 else None, "big" if i < 6 else "small", (i % 3) - 1, (i % 2), 0) for i in range(12)]
+    scored = spark.createDataFrame(rows, "id int, source string, state string, town string, gold int, model int, rules int")
+    cells = learn.report_cells(scored, scored, ["model", "rules"], ["state", "town"], "town", min_town=5)
+    keys = ["system", "source", "state", "town"]
+    levels = {tuple(r) for r in cells.select(*keys).distinct().collect()}
+    assert levels == {(s, *rest) for s in ("model", "rules") for rest in (
+        ("*", "*", "*"), ("a", "*", "*"), ("b", "*", "*"), ("a", "x", "*"), ("b", "x", "*"), ("a", "*", "big"))}
+    report = {tuple(r[:5]): r for r in learn.class_report(cells, keys).collect()}
+    assert report[("rules", "*", "*", "*", 0)]["support"] == 4 and report[("rules", "*", "*", "*", 0)]["precision"] == pytest.approx(4 / 12)
+    table = {tuple(r[:5]): tuple(r[5:]) for r in learn.confusion_table(cells, keys).collect()}
+    assert table[("rules", "*", "*", "*", -1)] == (0, 4, 0)

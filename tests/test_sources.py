@@ -149,7 +149,7 @@ def test_load_cluster_and_snapshot(spark, tmp_path):
     with pytest.raises(ValueError):
         cluster.intervention_check("Property A", "Food", "2030-01")
     sinks.write_snapshot({"mentions": cluster.mentions}, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out" / "mentions"))
+    back = sinks.read_snapshot(spark, str(tmp_path / "out"), "mentions")
     assert back.count() == cluster.mentions.count()
 
 
@@ -170,3 +170,65 @@ def test_a_folder_of_part_files_is_one_export(spark, tmp_path):
     from innsight.plans.cluster import load_cluster
 
     assert "cluster_id" in load_cluster(spark, f"{tmp_path}/many").reviews.columns
+
+
+def test_exports_by_their_own_rules(spark, tmp_path):
+    head = "property_id,platform,date,rating,text,language_hint\n"
+    (tmp_path / "a.csv").write_text(head + 'A,x,2024-02-03,4,"one, two",en\nB,x,2024-02-04,5,same,en\n')
+    (tmp_path / "b.csv").write_text("text,rating,Email,date,language_hint,platform,property_id\nthree,1,me@x.org,25/12/2023,en,y,C\nfour,2,me@x.org,01/02/2024,en,y,C\n")
+    (tmp_path / "c.csv").write_text(head + "B,x,2024-02-04,5.0,same,en\nB,x,2024-02-04,5,same,en\n")
+    (tmp_path / "d.jsonl").write_text('{"property_id": "D", "platform": "z", "date": 1706745600, "rating": 3, "text": "five", "language_hint": "en"}\n')
+    (tmp_path / "e.csv").write_text("")
+    rows = src.load_dir(spark, str(tmp_path))
+    got = sorted((r["property_id"], str(r["date"]), r["rating"], r["text"]) for r in rows.collect())
+    assert got == [
+        ("A", "2024-02-03 00:00:00", 4.0, "one, two"), ("B", "2024-02-04 00:00:00", 5.0, "same"), ("C", "2023-12-25 00:00:00", 1.0, "three"),
+        ("C", "2024-02-01 00:00:00", 2.0, "four"), ("D", "2024-02-01 05:30:00", 3.0, "five")]
+    assert "Email" not in rows.columns and not [c for c in rows.columns if c.startswith("_")]
+
+
+def test_faults_of_all_exports_in_one_message(spark, tmp_path):
+    head = "property_id,platform,date,rating,text,language_hint\n"
+    (tmp_path / "a.csv").write_text(head + "A,x,2024-02-03,9,one,en\n")
+    (tmp_path / "b.csv").write_text(head + "A,x,2024-02-03,4,ok,en\nA,x,03/02/2024,4,,en\n")
+    with pytest.raises(src.SchemaError, match=r"a\.csv: .*out of range: 1.*b\.csv: .*empty text: 1.*'03/02/2024' does not match '2024-02-03'"):
+        src.load_dir(spark, str(tmp_path))
+    (tmp_path / "c.csv").write_text("property_id,date\n1,2\n")
+    with pytest.raises(src.SchemaError, match="no column for required platform"):
+        src.load_dir(spark, str(tmp_path))
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    head = "property_id,platform,date,rating,text,language_hint\n"
+    for n in (2, 12):
+        (tmp_path / str(n)).mkdir()
+        for i in range(n):
+            (tmp_path / str(n) / f"{i}.csv").write_text(head + f"A,x,2024-02-03,4,text {i},en\n")
+    jobs = []
+    for n in (2, 12):
+        spark.sparkContext.setJobGroup(f"load-{n}", "")
+        assert src.load_dir(spark, str(tmp_path / str(n))).count() == n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"load-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_a_snapshot_is_published_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "snap")
+    rows = spark.createDataFrame([("A", "2024-01-01", None if i == 3 else float(i)) for i in range(20)] + [("B", "2024-03-01", float("nan"))],
+                                 "property_id string, date string, rating double").withColumn("date", F.to_date("date"))
+    sinks.write_snapshot({"reviews": rows, "other": rows.limit(2)}, folder, {"source_name": "s"}, rows_per_file=6)
+    found = sinks.manifest(spark, folder)
+    assert found["meta"] == {"source_name": "s", "n_reviews": 21, "date_min": "2024-01-01", "date_max": "2024-03-01"}
+    assert {k: v["rows"] for k, v in found["tables"].items()} == {"reviews": 21, "other": 2}
+    back = sinks.read_snapshot(spark, folder, "reviews")
+    assert back.schema == rows.schema and back.where("rating IS NULL").count() == 2
+    sizes = back.groupBy(F.col("_metadata.file_path")).count().collect()
+    assert max(r["count"] for r in sizes) <= 6
+
+    broken = rows.withColumn("rating", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_snapshot({"reviews": rows.limit(1), "other": broken}, folder)
+    assert sinks.manifest(spark, folder) == found and sinks.read_snapshot(spark, folder, "reviews").count() == 21
+    sinks.write_snapshot({"reviews": rows.limit(1)}, folder)
+    assert sinks.read_snapshot(spark, folder, "reviews").count() == 1
