@@ -13,14 +13,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from innsight.llm.common import by_content, documents, id_remainder, slices, text_or_empty
+from innsight.llm.common import by_content, documents, id_remainder, text_or_empty
 
 #: Bytes of training text in a dictionary; the models are this bounded sample, nothing more.
 DICTIONARY_BYTES = 192 << 10
@@ -131,20 +131,20 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """Rows of ``docs`` whose language is told with enough margin, learned from their own labels.
 
-    A projection: rows pass whole, and those that are rejected are left out. Defined cases as in ``identify``; all columns stay,
+    A filter: only texts go to Python, and only a yes or no comes back. Defined cases as in ``identify``; all columns stay,
     whatever their names, and repeated rows stay repeated.
     """
     models = docs.sparkSession.sparkContext.broadcast(train_dictionaries(training_rows(docs)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(BooleanType())
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classifier = Classifier(models.value)
-        for batch in chain.from_iterable(slices(b, "text") for b in batches):
-            told = [classifier.decide(text.as_py()) for text in batch.column("text")]
-            keep = pa.array([bool(_accepted(lang, margin, min_margin)) for lang, _, margin in told], pa.bool_())
-            yield batch.select(["document"]).filter(keep)
+        for part in texts:
+            decided = (classifier.decide(text.as_py()) for text in part)
+            yield pa.array([_accepted(lang, margin, min_margin) for lang, _, margin in decided], pa.bool_())
 
-    rows = by_content(docs).select(F.coalesce(F.col("document.text").cast("string"), F.lit("")).alias("text"), "document")
-    return rows.mapInArrow(run, rows.select("document").schema).select("document.*")
+    rows = by_content(docs).select("document")
+    return rows.where(told(F.coalesce(F.col("document.text").cast("string"), F.lit("")))).select("document.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
