@@ -55,14 +55,14 @@ def half_even(expr: str, digits: int) -> str:
 
 
 def t_tail(t: str, dof: str) -> str:
-    """P(T > t) for t >= 0 by Simpson's rule on the angle atan(t / sqrt(dof))."""
+    """P(T > t) for t >= 0 by Boole's rule on the angle atan(t / sqrt(dof))."""
     n = 2000
     top = f"(case when {dof} >= 30 then atan(({t} + 14) / sqrt({dof})) else pi() / 2 end)"
     low = f"atan({t} / sqrt({dof}))"
     step = f"(({top} - {low}) / {n})"
     area = (f"list_sum(list_transform(range(0, {n + 1}), lambda i: "
-            f"(case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end) "
-            f"* pow(cos(least(pi() / 2, {low} + i * {step})), {dof} - 1))) * {step} / 3")
+            f"(case when i = 0 or i = {n} then 7 when i % 2 = 1 then 32 when i % 4 = 2 then 12 else 14 end) "
+            f"* pow(cos(least(pi() / 2, {low} + i * {step})), {dof} - 1))) * {step} * 2 / 45")
     # with many degrees of freedom the difference of two large logarithms loses digits; a series in 2 / dof doesn't
     x = f"({dof} / 2.0)"
     series = (f"sqrt({x}) * (1 - 1 / (8 * {x}) + 1 / (128 * pow({x}, 2)) + 5 / (1024 * pow({x}, 3)) "
