@@ -187,3 +187,41 @@ MONTH_NAMES = [
     "January", "February", "March", "April", "May", "June", "July", "August",
     "September", "October", "November", "December",
 ]
+
+# --- sentences: {names} are filled in by the operators ------------------------------------------
+
+CHECK_SENTENCES = {
+    "better": "{aspect} got better.",
+    "worse": "{aspect} got worse.",
+    "unclear": "No change of {aspect} stands out: one of less than {mde} could go unseen here.",
+    "levels": "Mean sentiment: {before} between {baseline} and {start}, {after} afterwards.",
+    "market": "Net of other properties ({market}) this is {effect}, with 95% confidence {low} to {high}.",
+    "alone": "Other properties have too little to say about it, so their trend is not taken out.",
+    "placebo": "By size this is number {rank} of {compared} properties tested in the same way.",
+    "early": "Caution: a break is already visible at {detected}, ahead of {start}; look for another cause.",
+    "few_before": "{aspect} has {n_before} reviews ahead of {start}; a comparison takes {needed}.",
+    "few_after": "{aspect} has {n_after} reviews from {start} on; a comparison takes {needed}.",
+    "absent": "{property} has no review about {aspect}.",
+}
+
+OWNER_SENTENCES = {
+    "few": "{k} reviewed: not enough to tell a property from its market",
+    "no_pattern": "lags, while {aspect} shows no pattern that others share",
+    "fell": "moved {fell} against the market in {month}, when the market's own move was {market}",
+    "also": "{told} is common to the market",
+    "scarce": "hardly any reviews {where}, so the shared pattern can't be set aside",
+    "still": "{gap} under the market even {where}; {also}",
+    "shared": "{patterns}; no lag {where} ({drops})",
+    "drops": "own dip {mine}, mean dip {all}",
+    "near": "{aspect}: {n} properties no more than {radius} km away ({names}) went down together in "
+            "{month}; own move {own}, group {group} net of the market, permutation p {p}",
+}
+
+PRIORITY_SENTENCES = {
+    "rationale": "{aspect}: {now} against {reference} ({compared}{since}), a gap of {gap}; {because}. "
+                 "{share}% of all mentions.",
+    "own": "the property's own reviews break downwards, and too few others review {aspect}",
+    "decline": "a break downwards that the market does not share",
+    "near": "a break downwards that the neighbours share",
+    "lag": "95% interval {low} to {high} of the difference, below zero after false-discovery control",
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -78,6 +79,16 @@ def decimals(value: Column, digits: int = 2, signed: bool = False) -> Column:
     return F.format_string(f"%{'+' if signed else ''}.{digits}f", shown)
 
 
+def phrase(template: str, **parts: Column) -> Column:
+    """``template`` with each ``{name}`` replaced by a column; null if one of those is null."""
+    return F.concat(*[parts[piece].cast("string") if named else F.lit(piece)
+                      for named, piece in _pieces(template) if piece])
+
+
+def _pieces(template: str) -> list[tuple[bool, str]]:
+    return [(at % 2 == 1, piece) for at, piece in enumerate(re.split(r"\{(\w+)\}", template))]
+
+
 def natural_key(name: Column) -> Column:
     """Sort key that puts 'Property 2' before 'Property 10'."""
     digits = F.regexp_replace(F.lower(name), r"(\d+)", "00000000000000000000$1")

@@ -187,6 +187,62 @@ def test_range_join_equals_all_pairs(spark):
     assert nearest == 120
 
 
+def test_nearest_with_remote_properties(spark):
+    from innsight.functions.geo import haversine_km
+    crowd = [(f"P{i:02d}", 60 + i % 7 * .001, 10 + i // 7 * .001) for i in range(40)]
+    points = spark.createDataFrame([*crowd, ("Q1", -70.0, -170.0), ("Q2", 5.0, 100.0)],
+                                   "property_id string, lat double, lon double")
+    got = {}
+    for r in spatial.nearest_others(points, 3).orderBy("property_id", "rank").collect():
+        got.setdefault(r["property_id"], []).append(r["other_id"])
+    a, b = points.alias("a"), points.alias("b")
+    km = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    plain = {}
+    for r in a.join(b, F.col("a.property_id") != F.col("b.property_id")).select(
+            F.col("a.property_id").alias("p"), F.col("b.property_id").alias("o"),
+            km.alias("km")).orderBy("p", "km", "o").collect():
+        plain.setdefault(r["p"], []).append(r["o"])
+    assert got == {p: others[:3] for p, others in plain.items()}
+    pair = points.where("property_id like 'Q%'")
+    assert spatial.nearest_others(pair, 3).count() == 2
+    assert spatial.nearest_others(pair.limit(1), 3).count() == 0
+    assert spatial.nearest_others(points.limit(0), 3).count() == 0
+
+
+def test_windows_from_running_sums(spark):
+    """Every window read from the running sums equals the sums over its own months."""
+    import datetime
+    from innsight.operators.changepoint import side_sums
+    months = [datetime.date(2019 + i // 12, i % 12 + 1, 1) for i in range(0, 24)]
+    rows = [(p, a, m, 1 + (i * k) % 5, .25 * ((i + k) % 7 - 3), .5 * (i % 3), .125 * (i % 4), .01 * k)
+            for k, (p, a) in enumerate([("P1", "Food"), ("P2", "Food"), ("P3", "Room")], 1)
+            for i, m in enumerate(months) if 3 * k <= i < 22 - k and (i + k) % 4]
+    adjusted = spark.createDataFrame(rows, "property_id string, aspect string, month date, n bigint, "
+                                     "rs double, s double, rss double, mvar double")
+    edges = [datetime.date(2018, 12, 1), *months[::3], datetime.date(2022, 5, 1)]
+    windows = spark.createDataFrame([("X", a, s, b) for a in ("Food", "Room", "Gone") for s in edges
+                                     for b in edges], "property_id string, aspect string, start date, baseline date")
+    keys = ["property_id", "aspect", "start", "baseline"]
+    plain = side_sums(adjusted.join(windows.drop("property_id"), "aspect").where("month >= baseline"),
+                      keys, F.col("month") >= F.col("start"))
+    got = {tuple(r[k] for k in keys): r for r in intervention.shifts_for(adjusted, windows).collect()}
+    want = {tuple(r[k] for k in keys): r for r in plain.collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    for key, row in want.items():
+        for name in plain.columns[4:]:
+            assert got[key][name] == row[name] or abs(got[key][name] - row[name]) < 1e-12, (key, name)
+
+
+def test_phrases(spark):
+    from innsight import config
+    from innsight.functions.frames import phrase
+    row = spark.range(1).select(phrase("{a} of {b}: {a}", a=F.lit(3), b=F.lit("x")).alias("t"),
+                                phrase("plain").alias("p"),
+                                phrase("{a}.", a=F.lit(None).cast("int")).alias("n")).first()
+    assert (row["t"], row["p"], row["n"]) == ("3 of x: 3", "plain", None)
+    assert all(len(v) > 10 for v in config.CHECK_SENTENCES.values())
+
+
 def test_priorities_and_owner(spark):
     rates = {f"P{i}": flat(.7) for i in range(6)} | {"P0": step(.8, .2, 15)}
     mentions = series(spark, rates)
