@@ -5,6 +5,7 @@ Inner products become distances by one more coordinate: with R the largest norm,
 one tree of a shard of about ``SHARD_ROWS`` rows. Queries go down each tree together: at a
 node they split by the nearer child, and a child is left out if the triangle inequality puts all of it farther than
 ``factor`` times the distance of the query's k-th neighbour so far. Factor 1 is exact, less is faster.
+Distances are taken of vectors scaled by a power of two, so that squares of large components don't overflow; scores aren't.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ class Tree:
     bounds: np.ndarray  # least and largest distance to the vantage point: left child, right child
 
 
-def plant(points: np.ndarray, ids: np.ndarray, radius: float) -> Tree:
-    """Build a tree. Halves are by rank, so equal points split like others."""
+def plant(original: np.ndarray, ids: np.ndarray, radius: float, scale: float = 1.0) -> Tree:
+    """Build a tree. Halves are by rank, so equal points split like others. ``radius`` is that of the scaled points."""
+    points = original * scale
     lift = np.sqrt(np.maximum(radius ** 2 - (points ** 2).sum(1), 0.0))
     order = np.arange(len(points))
     spans, bounds = [[0, len(points), 0, 0, 0]], [[0.0] * 4]
@@ -69,7 +71,7 @@ def plant(points: np.ndarray, ids: np.ndarray, radius: float) -> Tree:
         todo += [len(spans) - 2, len(spans) - 1]
     spans = np.array(spans)
     spans[:, 4] = np.argsort(order)[spans[:, 4]]  # rows are stored in tree order
-    return Tree(points[order], ids[order], lift[order], spans, np.array(bounds))
+    return Tree(original[order], ids[order], lift[order], spans, np.array(bounds))
 
 
 def _distances(points, lift, point, its_lift) -> np.ndarray:
@@ -79,9 +81,13 @@ def _distances(points, lift, point, its_lift) -> np.ndarray:
 class Search:
     """Neighbours of a block of queries in one tree; keeps (query row, score, id) of the best k."""
 
-    def __init__(self, tree: Tree, queries: np.ndarray, own_ids: np.ndarray, radius: float, k: int, factor: float):
-        self.tree, self.queries, self.own_ids, self.k, self.factor = tree, queries, own_ids, k, factor
-        self.reach = (queries ** 2).sum(1) + radius ** 2
+    def __init__(self, tree: Tree, queries: np.ndarray, own_ids: np.ndarray, radius: float, scale: float, k: int, factor: float):
+        self.tree, self.queries, self.own_ids, self.k, self.factor, self.scale = tree, queries, own_ids, k, factor, scale
+        # a query longer than every point is shortened to their size: its neighbours stay the same
+        largest = np.abs(queries).max(1, initial=0.0)
+        self.shrink = np.minimum(scale, np.ldexp(1.0, -np.frexp(largest)[1].clip(-1000)))
+        self.asked = queries * self.shrink[:, None]
+        self.reach = (self.asked ** 2).sum(1) + radius ** 2
         self.slack = SLACK * radius
         self.kth = np.full(len(queries), -np.inf)
         self.found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -94,8 +100,8 @@ class Search:
             return
         if not left:
             return self.leaf(first, last, active)
-        point, lift = self.tree.points[vantage], self.tree.lift[vantage]
-        d = np.sqrt(((self.queries[active] - point) ** 2).sum(1) + lift ** 2)
+        point, lift = self.tree.points[vantage] * self.scale, self.tree.lift[vantage]
+        d = np.sqrt(((self.asked[active] - point) ** 2).sum(1) + lift ** 2)
         low_l, high_l, low_r, high_r = self.tree.bounds[node]
         gap_l = np.maximum(np.maximum(d - high_l, low_l - d), 0)
         gap_r = np.maximum(np.maximum(d - high_r, low_r - d), 0)
@@ -106,7 +112,9 @@ class Search:
                 self.visit(child, group[gap[mine] <= self.limit(group)])
 
     def limit(self, group: np.ndarray) -> np.ndarray:
-        return self.factor * np.sqrt(np.maximum(self.reach[group] - 2 * self.kth[group], 0)) + self.slack
+        kth = self.kth[group]
+        near = self.factor * np.sqrt(np.maximum(self.reach[group] - 2 * (kth * self.shrink[group] * self.scale), 0)) + self.slack
+        return np.where(kth == np.inf, np.inf, near)  # products beyond the largest double are ties
 
     def leaf(self, first: int, last: int, active: np.ndarray) -> None:
         ids = self.tree.ids[first:last]
@@ -129,21 +137,26 @@ class Search:
         self.found = tuple(np.concatenate([r, x[best]]) for r, x in zip(rest, (query, score, ident), strict=True))
 
 
-def build_index(vectors: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, int]]]:
-    """One row per shard (dim, shard, radius, and the tree's arrays as bytes), and by dimension (R, shards).
+def build_index(vectors: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float, int]]]:
+    """One row per shard (dim, shard, and the tree's arrays as bytes), and by dimension (scaled R, scale, shards).
 
     ``vectors`` has vec_id and embedding (array of double), all usable. Vectors of different
     dimensions never meet, so there is an index for each.
     """
-    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    stats = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.max(size).alias("r2"), F.count(F.lit(1)).alias("n")).collect()
-    shape = {r["dim"]: (math.sqrt(r["r2"]), max(1, math.ceil(r["n"] / SHARD_ROWS))) for r in stats}
+    largest = F.array_max(F.transform("embedding", F.abs))
+    squares = F.aggregate(F.transform("embedding", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)
+    stats = vectors.groupBy(F.size("embedding").alias("dim")).agg(
+        F.max(F.log2(largest) + F.log2(squares) / 2).alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    shape = {}
+    for r in stats:  # the longest vector's scaled length is in (0.5, 1]
+        power = min(1000, max(-1000, math.ceil(r["size"])))
+        shape[r["dim"]] = (2.0 ** (r["size"] - power) * (1 + 1e-12), 2.0 ** -power, max(1, math.ceil(r["n"] / SHARD_ROWS)))
 
     def tree_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = plant(np.stack(rows["embedding"]).astype(np.float64), rows["vec_id"].to_numpy(np.int64), shape[key[0]][0])
+        tree = plant(np.stack(rows["embedding"]).astype(np.float64), rows["vec_id"].to_numpy(np.int64), *shape[key[0]][:2])
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], **{name: [getattr(tree, name).tobytes()] for name in _ARRAYS}})
 
-    shards = _by_dimension({d: s for d, (_, s) in shape.items()})
+    shards = _by_dimension({d: s for d, (_, _, s) in shape.items()})
     placed = vectors.select("vec_id", "embedding", F.size("embedding").alias("dim"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int"))
     fields = ", ".join(f"{name} binary" for name in _ARRAYS)
@@ -164,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     not its neighbour. Defined cases: vectors that are null, zero or hold a null or non-finite component
     and rows with a null id take no part on either side; vectors of another dimension are no
     candidates; a query with fewer than k candidates gets all; equal scores rank by smaller vec_id; rows
-    repeated as candidates are candidates each, rows repeated as queries count once; empty tables
+    repeated as candidates are candidates each, of rows repeated as queries the least vector counts; empty tables
     give no rows; other columns are left out.
     """
     vectors, queries = (
@@ -172,13 +185,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
         .where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))) for df in (vectors, queries)
     )
     index, shape = build_index(vectors)
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     counts = {r["dim"]: r["n"] for r in queries.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = {d: max(1, math.ceil(counts.get(d, 0) / QUERY_ROWS)) for d in shape}
     # a cell is one shard and one block of queries, both bounded; each block goes to every shard
     asked = queries.withColumn("dim", F.size("embedding")).where(F.col("dim").isin([*shape]))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), _by_dimension(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), _by_dimension({d: s for d, (_, s) in shape.items()}) - 1)))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), _by_dimension({d: s for d, (_, _, s) in shape.items()}) - 1)))
     cells = index.withColumn("block", F.explode(F.sequence(F.lit(0), _by_dimension(blocks) - 1)))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -187,7 +200,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
         dim, arrays = int(left["dim"][0]), {n: np.frombuffer(left[n][0], t) for n, t in _ARRAYS.items()}
         tree = Tree(arrays["points"].reshape(-1, dim), arrays["ids"], arrays["lift"], arrays["spans"].reshape(-1, 5), arrays["bounds"].reshape(-1, 4))
         own = right["vec_id"].to_numpy(np.int64)
-        query, score, ident = Search(tree, np.stack(right["embedding"]).astype(np.float64), own, shape[dim][0], k, factor).found
+        query, score, ident = Search(tree, np.stack(right["embedding"]).astype(np.float64), own, *shape[dim][:2], k, factor).found
         return pd.DataFrame({"query_id": own[query], "vec_id": ident, "score": score})
 
     keys = ("dim", "shard", "block")

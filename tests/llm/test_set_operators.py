@@ -226,6 +226,32 @@ def test_nearest_vectors(spark, monkeypatch, factor):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_nearest_of_very_large_and_small_components(spark, monkeypatch):
+    monkeypatch.setattr(vantage_point, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vantage_point, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5))
+    x[7] *= 1e153
+    x[20], x[33] = x[20] * 1e-120, x[33] * 1e140
+    x[40] *= 1e155  # as a query its products stay finite but for those with 7 and 33
+    vectors = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in vantage_point.nearest(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 300, 20):
+        scores = [float(np.einsum("d,d->", x[q], x[i])) for i in range(300)]
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))[:20]
+        assert [i for i, _ in got[q]] == best
+        assert all(s == scores[i] or abs(s - scores[i]) <= 1e-12 * abs(scores[i]) for i, s in got[q])
+
+
+def test_repeated_queries_of_different_vectors(spark):
+    rows = [(0, [2.0, 0.0]), (0, [0.0, 3.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = vantage_point.nearest(vectors, vectors.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 3.0), (1, 0.0)]
+
+
 def test_nearest_of_empty_and_few_vectors(spark):
     kind = "vec_id bigint, embedding array<float>"
     assert vantage_point.nearest(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).count() == 0
