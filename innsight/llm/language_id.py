@@ -1,20 +1,20 @@
 """Language ID by compression (operator 4).
 
-Each language has a raw-content zstandard dictionary made of whole training texts. A text is
+Each language has a raw-content zstandard dictionary made of training texts. A text is
 encoded with every dictionary; the language whose dictionary encodes it smallest is chosen,
 and the decision is rejected when the runner-up is within ``MIN_MARGIN`` of it.
 
-What is encoded is the whole text's distinct words in order of first appearance, lower-cased, letters
-only: layout, digits and repeats cost the same in every language and would only thin out the margin.
+What is encoded are all words of the whole text, repeats too, lower-cased and parted by one space; what
+is no letter (or mark on one) costs the same in every language and would only thin out the margin.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,10 @@ from innsight.llm.common import by_content, documents, id_remainder, text_or_emp
 
 #: Bytes of training text in a dictionary; the models are this bounded sample, nothing more.
 DICTIONARY_BYTES = 192 << 10
-#: Rows a language may send to the driver as candidates for its dictionary.
+#: Distinct texts a language may send to the driver (in expectation) as candidates for its dictionary.
 DICTIONARY_ROWS = 800
+#: Characters that one training text may give to its dictionary: a longer one gives a stretch of so many.
+DICTIONARY_CHARS = 16 << 10
 #: Least share of the smaller size by which the runner-up must be larger.
 MIN_MARGIN = 0.005
 LEVEL = 6
@@ -34,36 +36,40 @@ TIE_LEVEL = 19
 #: How fast a language's weight in the score falls with its relative excess size.
 SHARPNESS = 40.0
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What words consist of: letters and the marks on them, as Unicode has them; a number sign such as a half is neither.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def encoded_words(text: str) -> str:
-    """The text's distinct words, lower-cased, of letters only."""
-    return " ".join(dict.fromkeys(_NOT_LETTERS.sub(" ", text.lower()).split()))
+    """The text's words in order, lower-cased, of letters only; empty if it has no letter."""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip() if _LETTER.search(text) else ""
 
 
 def train_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """Raw dictionary of each non-null lang of (doc_id, text, lang).
 
-    A language's texts are taken whole in the order of a hash of the text until ``DICTIONARY_BYTES``
-    are full; at most ``DICTIONARY_ROWS`` per language travel, found by a hash threshold set from
-    the language's row count, so no language is sorted. Texts longer than the dictionary are passed over.
+    A language's distinct texts are taken in the order of a hash of the text until ``DICTIONARY_BYTES``
+    are full, so copies count once. About ``DICTIONARY_ROWS`` per language travel, found by a hash threshold set from
+    the number of its distinct texts, so no language is sorted. A text of more than ``DICTIONARY_CHARS`` gives a stretch
+    of so many characters, which starts where its hash says: a language all of whose texts are long is learned as well.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, DICTIONARY_BYTES // 8))
+    usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     usable = usable.select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     span = float(1 << 63)
     reach = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, DICTIONARY_ROWS / n))])
-    chosen = usable.where(F.col("h") / span * 0.5 + 0.5 <= reach[F.col("lang")]).orderBy("lang", "h", "text")
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - DICTIONARY_CHARS + 1, F.lit(1))).cast("int") + 1
+    chosen = usable.where(F.col("h") / span * 0.5 + 0.5 <= reach[F.col("lang")])
+    chosen = chosen.select("lang", "h", F.col("text").substr(start, F.lit(DICTIONARY_CHARS)).alias("text"))
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h")
     out: dict[str, bytearray] = {lang: bytearray() for lang in counts}
-    last = None
     for row in chosen.toLocalIterator():
         kept, text = out[row["lang"]], encoded_words(row["text"]).encode()
-        if text != last and len(kept) + len(text) < DICTIONARY_BYTES:
+        if text and len(kept) + len(text) < DICTIONARY_BYTES:
             kept += text + b" "
-        last = text
     return {lang: bytes(kept) for lang, kept in sorted(out.items()) if kept}
 
 
