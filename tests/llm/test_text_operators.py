@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from innsight.llm import language_id, pii, quality, sentencepiece_bpe, toxicity
@@ -60,6 +62,52 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert not found[101] and not found[102] and not found[3]
 
 
+def with_luhn(number):
+    return next(f"{number}{c}" for c in range(10) if pii.luhn(f"{number}{c}"))
+
+
+def test_planted_contexts_are_found_and_decoys_left(spark):
+    """Seeds and unseen identifiers share a word, two words or a form; decoys stand in other words or have another form."""
+    rng = np.random.default_rng(11)
+    noise = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    number = lambda n: "".join(rng.choice(list("123456789"), n))
+    rows, want = [], {}
+
+    def plant(before, span, after, kind=None):
+        rows.append((len(rows), f"{before} {span} {after}"))
+        if kind:
+            want[len(rows) - 1] = [(kind, len(before) + 1, len(before) + 1 + len(span))]
+
+    for _ in range(40):
+        plant(f"{noise()} phone:", f"+1 555 {number(3)} {number(4)}", noise())  # seeds with one common word
+        plant(f"{noise()} pay with", with_luhn(number(15)), noise())
+        plant(f"{noise()} mail to", f"{noise()}@{noise()}.org", noise())
+    for _ in range(12):  # a trusted pattern has seven known instances of ten
+        plant(f"{noise()} phone:", f"555-{number(4)}", noise(), "phone")
+        plant(f"{noise()} mail to", f"{noise()}@localhost", noise(), "email")
+        plant(f"{noise()} invoice", number(14), noise())
+        plant(f"{noise()} part", f"555-{number(4)}", noise())
+        plant(f"{noise()} at", f"{noise()}@home", noise())
+    long_one = f"{'y' * 90}@localhost"
+    plant(f"{noise()} mail to", long_one, noise(), "email")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in pii.extract(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {(i, s) for i, spans in got.items() for s in spans}
+    planted = {(i, s) for i, spans in want.items() for s in spans}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)
+    assert (len(rows) - 1, want[len(rows) - 1][0]) in found
+
+
+def test_neighbouring_numbers_are_judged_one_by_one():
+    a, b = with_luhn("411111111111111"), with_luhn("550000000000000")
+    text = f"{a} {b} 555-4081 190.137.223.204, (5550107777) x"
+    base = pii.base_spans(text)
+    spans = [text[s:e] for s, e, _ in pii.candidates(text, base)]
+    assert [text[s:e] for _, s, e in base] == ["190.137.223.204"]
+    assert spans == [a, b, "555-4081", "5550107777"]
+    assert pii.candidates("1 " * 50_000 + "@" * 50_000, []) is not None  # linear
+    assert pii.patterns(f"see card: {a}!", 10, 26, ["card"]) == ["see card: _", "card: _ !", "*card _", "*card 16 digits, valid"]
+
+
 def test_encoding_equals_the_library(spark, small):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     coder = sentencepiece_bpe.PieceCodec(open(MODEL, "rb").read())
@@ -101,6 +149,48 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r.accepted for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_decision_equals_the_smallest_encoding(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dictionaries = language_id.train_dictionaries(language_id.training_rows(docs))
+    told = {r.doc_id: r for r in language_id.identify(docs, dictionaries).collect()}
+
+    def size(text, lang, level):
+        content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.encode()))
+
+    for r in rows:
+        words, word = [], ""
+        for c in (r.text or "").lower() + " ":
+            if unicodedata.category(c)[0] in "LM":
+                word += c
+            elif word:
+                words, word = [*words, word], ""
+        sizes = sorted((size(" ".join(words), lang, language_id.LEVEL), lang) for lang in dictionaries)
+        if words and sizes[0][0] < sizes[1][0]:
+            assert told[r.doc_id].lang_pred == sizes[0][1]
+            assert told[r.doc_id].margin == pytest.approx((sizes[1][0] - sizes[0][0]) / sizes[0][0])
+
+
+def test_language_of_signs_copies_and_long_texts(spark):
+    """Number signs are no letters; a language of long texts only is learned; copies of a text don't crowd out others."""
+    rng = np.random.default_rng(5)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(200)] for lang, letters in (("aa", "abcde"), ("kk", "klmno"))}
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    ids = [i for i in range(200) if held_out(i, 4) != 2]
+    rows = [(i, say("aa", 20_000), "aa") for i in ids[:3]] + [(i, say("kk", 40), "kk") for i in ids[3:20]]
+    same = say("kk", 30)
+    rows += [(i, same, "kk") for i in ids[20:]]
+    dictionaries = language_id.train_dictionaries(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(dictionaries["aa"]) > 40_000 and dictionaries["kk"].decode().count(same) == 1
+    assert len(dictionaries["kk"]) > 15 * 40 * 5
+    tell = language_id.Classifier(dictionaries).decide
+    assert tell(say("aa", 30))[0] == "aa" and tell(say("kk", 30))[0] == "kk"
+    for signs in ("½ ²", "Ⅷ", "12 + 3", "\u0301", "_"):
+        assert tell(signs) == ("und", 0.0, 0.0)
+    assert tell("a" * 20 + " " + say("kk", 60))[0] == "kk"
+
+
 @pytest.mark.parametrize("name, label, least", [("op2_toxicity", "toxic", 0.93), ("op5_quality", "quality", 0.96)])
 def test_classifier_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.1"
