@@ -20,7 +20,8 @@ def held_out(doc_id: str = "doc_id"):
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
     """Texts and labels of rows that aren't held out: a fixed hash sample of about ``rows`` of them.
 
-    The text is hashed, not the id, and only for choosing; rows without a label are left out.
+    The id is hashed, only for choosing, so all rows of one id are chosen together; rows without a label and texts of
+    more than ``TRAIN_CHARS`` are left out.
     """
     marks = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("label"))
     marks = marks.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
