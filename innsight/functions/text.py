@@ -86,43 +86,58 @@ def nfc(text: Column) -> Column:
     """
     rewritten, composed = _nfc_tables()
     single = _coarse_class([ord(k) for k in rewritten])
+    # One look that most characters fail at once; neither kind is below U+0300.
+    concerned = f"(?=[^\\x{{0}}-\\x{{2ff}}])(?:{single}|\\p{{M}})"
     out = F.when(text.rlike(single), _replace_matches(text, single, rewritten)).otherwise(text)
     for _ in range(2):
         out = F.when(text.rlike(r"\p{M}"), _replace_matches(out, r"(?s).\p{M}", composed)
                      ).otherwise(out)
-    return F.when(text.rlike("[^\\x{0}-\\x{7f}]"), out).otherwise(text)
+    return F.when(text.rlike(concerned), out).otherwise(text)
 
 
 # --- T1-T5: normalise, split, tokenise, language ---------------------------------------
 
 
 def collapse_blanks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+    # A single space stays as it is, so only other blanks and runs are matches; most characters fail the first test.
+    other = f"(?=[^!-~])(?: (?={BLANK})|[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}&&[^ ]]){BLANK}*"
+    return F.trim(F.regexp_replace(text, other, " "))
 
 
 def normalise(text: Column) -> Column:
     """NFC, lower case, emoji to words, shorthand spellings, single spaces."""
-    out = F.lower(nfc(text))
-    worded = out
-    for symbol, word in config.EMOJI_WORDS.items():
-        worded = F.replace(worded, F.lit(symbol), F.lit(word))
-    emoji = F.regexp_replace(worded, "[" + "".join(
-        f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in config.EMOJI_RANGES) + "]", " ")
-    out = collapse_blanks(F.when(text.rlike("[^\\x{0}-\\x{7f}]"), emoji).otherwise(F.lower(text)))
+    return bind(text, _normalised)
+
+
+def _normalised(text: Column) -> Column:
+    emoji = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in config.EMOJI_RANGES) + "]"
+
+    def without_emoji(lowered: Column) -> Column:
+        worded = lowered
+        for symbol, word in config.EMOJI_WORDS.items():
+            worded = F.replace(worded, F.lit(symbol), F.lit(word))
+        return F.when(lowered.rlike(emoji), F.regexp_replace(worded, emoji, " ")).otherwise(lowered)
+
     by_target: dict[str, list[str]] = {}
     for variant, target in config.SPELLING.items():
         by_target.setdefault(target, []).append(variant)
-    spelled = out
-    for target, variants in by_target.items():
-        spelled = F.regexp_replace(
-            spelled, f"(?:^|(?<= ))(?:{'|'.join(map(re.escape, variants))})(?= |$)", target)
-    return F.when(_mentions_any(text, list(config.SPELLING)), spelled).otherwise(out)
 
+    def spelled(out: Column) -> Column:
+        new = out
+        for target, variants in by_target.items():
+            new = F.regexp_replace(
+                new, f"(?:^|(?<= ))(?:{'|'.join(map(re.escape, variants))})(?= |$)", target)
+        # Words are apart by one space now, so literals tell whether there is anything to spell.
+        padded = bind(F.concat(F.lit(" "), out, F.lit(" ")), lambda p: _holds_any(p, [f" {w} " for w in config.SPELLING]))
+        return F.when(padded, new).otherwise(out)
 
-def _mentions_any(text: Column, words: Sequence[str]) -> Column:
-    """Cheap substring test that lets most rows skip a regular expression."""
-    lowered = F.lower(text)
-    return functools.reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+    return bind(collapse_blanks(bind(F.lower(nfc(text)), without_emoji)), spelled)
+
+
+def _holds_any(text: Column, words: Sequence[str]) -> Column:
+    """Does the text hold one of the literals? One that holds another is found by the shorter."""
+    least = [w for w in words if not any(v != w and v in w for v in words)]
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in least])
 
 
 def normalise_words(value: str) -> str:
@@ -133,15 +148,22 @@ def normalise_words(value: str) -> str:
 
 def mark_clauses(text: Column) -> Column:
     """Replace every separator run by CUT, or by TURN if it holds a contrast word."""
+    return bind(text, _marked)
+
+
+def _marked(text: Column) -> Column:
     # Leading lookaheads on the possible first characters fail fast at most positions.
-    starts = "".join(sorted({w[0] for w in config.CONTRAST_WORDS}))
-    turn = (f"(?=[{starts}])(?<![{LETTER}])(?:{'|'.join(config.CONTRAST_WORDS)})"
+    starts, seconds = ("".join(sorted({w[i] for w in config.CONTRAST_WORDS})) for i in (0, 1))
+    turn = (f"(?=[{starts}][{seconds}])(?<![{LETTER}])(?:{'|'.join(config.CONTRAST_WORDS)})"
             f"(?![{LETTER}])")
     joins = "|".join(config.JOINING_WORDS)
     cut = (f"(?=[.!?;,\\noa])(?:[.!?;,\\n]+|(?<![{WORD_CHAR}])(?:{joins})(?![{WORD_CHAR}]))")
+    cut_only = F.regexp_replace(F.regexp_replace(text, cut, CUT), f"\\s*{CUT}[\\s{CUT}]*", CUT)
     out = F.regexp_replace(F.regexp_replace(text, turn, TURN), cut, CUT)
     out = F.regexp_replace(out, f"[\\s{CUT}]*{TURN}[\\s{CUT}{TURN}]*", TURN)
-    return F.regexp_replace(out, f"\\s*{CUT}[\\s{CUT}]*", CUT)
+    both = F.regexp_replace(out, f"\\s*{CUT}[\\s{CUT}]*", CUT)
+    # Finding a literal is far cheaper than the expressions: texts without a contrast word skip two of them.
+    return F.when(_holds_any(text, [*config.CONTRAST_WORDS, TURN]), both).otherwise(cut_only)
 
 
 def split_clauses(text: Column) -> Column:
