@@ -60,6 +60,7 @@ def _replace_file(spark: SparkSession, path: str, text: str) -> None:
 
 def by_property(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Rows dealt so that a property is in as few files as its rows need, and no task gets more than about ``rows_per_file`` of one."""
+    df = stage(df, "per-property")  # read twice: counted, then dealt
     counts = stage(df.groupBy("property_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")), "property-files")
     large = counts.where("_files > 1")  # at most rows / rows_per_file of them
     salted = df.join(large, "property_id", "left").withColumn(
