@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from string import ascii_letters
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +32,19 @@ from innsight.llm.common import documents, slices, text_or_empty
 
 SPACE_MARK = "▁"
 #: Entries of a worker's caches; a full one is emptied, but words used since the one before stay.
-CACHE_WORDS, CACHE_PAIRS = 250_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 120_000, 400_000
 #: Longer words are encoded without being kept.
 CACHE_CHARS = 48
 _CHUNKS = re.compile(r" *[^ \n]+| *\n| +$").findall
 
 
 class _Words(dict):
-    """Ids of the words met lately."""
+    """Ids of the words met lately, packed as 32-bit integers: smaller than tuples, and joined by one copy."""
 
     def __init__(self, coder: PieceCodec):
         self.coder = coder
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         return self.coder.word_ids(chunk)
 
 
@@ -70,6 +73,17 @@ class PieceCodec:
             self.automaton.add_word(p, (p, len(p), lefts))
         self.automaton.make_automaton()
         self._encoded, self._before = _Words(self), {}
+        across = {p[i:i + 2] for p in words for i in range(len(p) - 1)}
+        #: Packed id of a comma or full stop behind a letter, if no piece reaches across: the word before it is encoded for itself.
+        self._stops = {a + b: self.chunk_ids(b) for a in ascii_letters for b in ".," if a + b not in across}
+        self._packed_end = array("i", [self.end]).tobytes()
+        self._bytes = pa.array([self._bytes_of(i) for i in range(len(self.pieces))], pa.binary())
+        self._marked = np.array([p.startswith(SPACE_MARK) for p in self.pieces])
+
+    def _bytes_of(self, i: int) -> bytes:
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return b"" if i == self.end else self.pieces[i].replace(SPACE_MARK, " ").encode()
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two parts whose merge makes ``piece``; None if plain BPE of its text ends otherwise.
@@ -150,8 +164,8 @@ class PieceCodec:
                 parts[-2:] = [parts[-2] + parts[-1]]
         return [self.runs[k] for k in parts]
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run of spaces and the word or line end behind it."""
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Packed ids of a run of spaces and the word or line end behind it."""
         word = chunk.lstrip(" ")
         spaces = len(chunk) - len(word)
         pieces = self.word_pieces(SPACE_MARK + word if spaces else word)
@@ -166,11 +180,14 @@ class PieceCodec:
                 ids.append(i)
             else:
                 ids.extend([self.byte_ids[b] for b in p.encode()])
-        return tuple(ids)
+        return array("i", ids).tobytes()
 
-    def word_ids(self, chunk: str) -> tuple[int, ...]:
+    def word_ids(self, chunk: str) -> bytes:
         """``chunk_ids`` by way of the caches."""
-        out = self._before.get(chunk) or self.chunk_ids(chunk)
+        out = self._before.get(chunk)
+        if out is None:
+            mark = self._stops.get(chunk[-2:])
+            out = self._encoded[chunk[:-1]] + mark if mark else self.chunk_ids(chunk)
         if len(chunk) <= CACHE_CHARS:
             if len(self._encoded) >= CACHE_WORDS:
                 self._before, self._encoded = self._encoded, _Words(self)
@@ -180,9 +197,13 @@ class PieceCodec:
     def chunks(self, text: str) -> list[str]:
         return _CHUNKS(" " + text.replace(SPACE_MARK, " ")) if text else []
 
+    def packed(self, text: str) -> bytes:
+        """All ids of a text, with the end id, packed as 32-bit integers."""
+        return b"".join([*map(self._encoded.__getitem__, self.chunks(text)), self._packed_end])
+
     def encode(self, text: str) -> list[int]:
         """All ids of a text, with the end id."""
-        return [*chain.from_iterable(map(self._encoded.__getitem__, self.chunks(text))), self.end]
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, bytes joined to characters, the leading dummy space dropped."""
@@ -205,6 +226,12 @@ class PieceCodec:
         out.append(raw.decode(errors="replace"))
         return "".join(out)
 
+    def decode_all(self, ids: pa.ListArray) -> list[str]:
+        """``decode`` of lists that end with the end id: their pieces are joined as bytes, without a step per id."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self._bytes.take(ids.values)), b"").to_pylist()
+        first = self._marked[ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]].tolist()
+        return [(b[1:] if m else b).decode(errors="replace") for b, m in zip(joined, first, strict=True)]
+
 
 @functools.lru_cache(maxsize=2)
 def codec(model: bytes) -> PieceCodec:
@@ -226,13 +253,11 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         coder = codec(model.value)
         for batch in chain.from_iterable(slices(b, "text") for b in batches):
             texts = batch.column("text").to_pylist()
-            encoded = [coder.encode(text) for text in texts]
-            ends = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
-            values = np.fromiter(chain.from_iterable(encoded), np.int32, ends[-1])
+            encoded = [coder.packed(text) for text in texts]
+            ends = np.cumsum([0, *(len(e) >> 2 for e in encoded)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(map(coder.decode, encoded), pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+                [batch.column("doc_id"), ids, pa.array(coder.decode_all(ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
     return own.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import zstandard
@@ -129,6 +130,17 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     assert coder.encode(text) == lib.encode(text, add_eos=True)
 
 
+def test_batches_of_ids_are_decoded_as_the_library_decodes_them():
+    coder, lib = sentencepiece_bpe.PieceCodec(open(MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["", " ", "   a", "\n", "a.,b., a, b\u00b2. x,y", "A,", ",", "end.", "\u2581x\u2581", "\U0001f600\U0001f600 \u0915\u093e.", "ab." * 40, "a\x00b, c."]
+    ids = [lib.encode(text, add_eos=True) for text in texts]
+    assert [coder.encode(text) for text in texts] == ids
+    assert coder.decode_all(pa.array(ids, pa.list_(pa.int32()))) == [lib.decode(i) for i in ids]
+    assert coder.decode_all(pa.array([], pa.list_(pa.int32()))) == []
+    assert all(type(v) is bytes for v in coder._encoded.values())  # small, and nothing for the garbage collector
+    assert " end." in coder._encoded and " end" in coder._encoded  # the word is kept without its stop too
+
+
 def test_encoding_query(spark, small):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
