@@ -86,13 +86,19 @@ def nfc(text: Column) -> Column:
     """
     rewritten, composed = _nfc_tables()
     single = _coarse_class([ord(k) for k in rewritten])
-    # One look that most characters fail at once; neither kind is below U+0300.
-    concerned = f"(?=[^\\x{{0}}-\\x{{2ff}}])(?:{single}|\\p{{M}})"
     out = F.when(text.rlike(single), _replace_matches(text, single, rewritten)).otherwise(text)
     for _ in range(2):
         out = F.when(text.rlike(r"\p{M}"), _replace_matches(out, r"(?s).\p{M}", composed)
                      ).otherwise(out)
-    return F.when(text.rlike(concerned), out).otherwise(text)
+    return F.when(_beyond_latin(text) & text.rlike(f"{single}|\\p{{M}}"), out).otherwise(text)
+
+
+def _beyond_latin(text: Column) -> Column:
+    """Has the text a character from U+0300 on? All that NFC changes and all emoji are.
+
+    In an ASCII text every character is one byte, which is counted far faster than an expression looks.
+    """
+    return (F.octet_length(text) != F.char_length(text)) & text.rlike("[^\\x{0}-\\x{2ff}]")
 
 
 # --- T1-T5: normalise, split, tokenise, language ---------------------------------------
@@ -116,7 +122,7 @@ def _normalised(text: Column) -> Column:
         worded = lowered
         for symbol, word in config.EMOJI_WORDS.items():
             worded = F.replace(worded, F.lit(symbol), F.lit(word))
-        return F.when(lowered.rlike(emoji), F.regexp_replace(worded, emoji, " ")).otherwise(lowered)
+        return F.when(_beyond_latin(lowered) & lowered.rlike(emoji), F.regexp_replace(worded, emoji, " ")).otherwise(lowered)
 
     by_target: dict[str, list[str]] = {}
     for variant, target in config.SPELLING.items():
@@ -151,19 +157,37 @@ def mark_clauses(text: Column) -> Column:
     return bind(text, _marked)
 
 
+def _cut(also: str = "") -> str:
+    """A separator: a run of marks (or of ``also``), or a joining word."""
+    marks, joins = f".!?;,\\n{also}", "|".join(config.JOINING_WORDS)
+    firsts = "".join(sorted({w[0] for w in config.JOINING_WORDS}))
+    return f"(?=[{marks}{firsts}])(?:[{marks}]+|(?<![{WORD_CHAR}])(?:{joins})(?![{WORD_CHAR}]))"
+
+
+def _may_turn(text: Column) -> Column:
+    return _holds_any(text, [*config.CONTRAST_WORDS, TURN])
+
+
 def _marked(text: Column) -> Column:
     # Leading lookaheads on the possible first characters fail fast at most positions.
     starts, seconds = ("".join(sorted({w[i] for w in config.CONTRAST_WORDS})) for i in (0, 1))
     turn = (f"(?=[{starts}][{seconds}])(?<![{LETTER}])(?:{'|'.join(config.CONTRAST_WORDS)})"
             f"(?![{LETTER}])")
-    joins = "|".join(config.JOINING_WORDS)
-    cut = (f"(?=[.!?;,\\noa])(?:[.!?;,\\n]+|(?<![{WORD_CHAR}])(?:{joins})(?![{WORD_CHAR}]))")
+    cut = _cut()
     cut_only = F.regexp_replace(F.regexp_replace(text, cut, CUT), f"\\s*{CUT}[\\s{CUT}]*", CUT)
     out = F.regexp_replace(F.regexp_replace(text, turn, TURN), cut, CUT)
     out = F.regexp_replace(out, f"[\\s{CUT}]*{TURN}[\\s{CUT}{TURN}]*", TURN)
     both = F.regexp_replace(out, f"\\s*{CUT}[\\s{CUT}]*", CUT)
     # Finding a literal is far cheaper than the expressions: texts without a contrast word skip two of them.
-    return F.when(_holds_any(text, [*config.CONTRAST_WORDS, TURN]), both).otherwise(cut_only)
+    return F.when(_may_turn(text), both).otherwise(cut_only)
+
+
+def _runs(norm: Column) -> Column:
+    """Runs of clauses of a normalised text, each still holding its TURNs; blanks around them, and blank ones, are left in.
+
+    A text without a contrast word is split where it would be marked, which saves two passes over it.
+    """
+    return bind(norm, lambda t: F.when(_may_turn(t), F.split(mark_clauses(t), CUT)).otherwise(F.split(t, _cut(CUT))))
 
 
 def split_clauses(text: Column) -> Column:
@@ -216,6 +240,17 @@ def clause_aspects(clause: Column, tokens: Column, aspects: dict[str, list[str]]
     return F.array_compact(F.array(*hits))
 
 
+def _names_any(text: Column, aspects: dict[str, list[str]]) -> Column:
+    """Can any clause of the text name an aspect? One look for all cues at once, where tokens cost many."""
+    whole = [w for w in cue_words(aspects) if re.fullmatch("[a-z']+", w)]  # others are no token
+    inside = sorted({w for cues in aspects.values() for w in _split_cues(cues)[1]})
+    found = F.lit(False)
+    if whole:
+        starts = "".join(sorted({w[0] for w in whole}))
+        found = text.rlike(f"(?=[{starts}])(?<![{LETTER}])(?:{'|'.join(whole)})(?![{LETTER}])")
+    return found | _holds_any(text, inside) if inside else found
+
+
 def cue_words(aspects: dict[str, list[str]]) -> list[str]:
     return sorted({w for cues in aspects.values() for w in _split_cues(cues)[0]})
 
@@ -299,8 +334,9 @@ def aspect_clauses(norm: Column, aspects: dict[str, list[str]]) -> Column:
         return F.struct(p["clause"].alias("clause"), p["tokens"].alias("tokens"),
                         clause_aspects(p["clause"], p["cues"], aspects).alias("own"))
 
+    # Without an aspect of its own a run has none to pass on either.
     runs = F.transform(
-        F.split(mark_clauses(norm), CUT),
+        F.filter(_runs(norm), lambda run: _names_any(run, aspects)),
         lambda run: F.transform(F.transform(F.transform(F.split(run, TURN), piece), cue), own))
 
     def resolve(run: Column) -> Column:

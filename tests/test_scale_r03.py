@@ -77,3 +77,21 @@ def test_a_snapshot_computes_its_rows_once(spark, tmp_path):
     rows = spark.range(100, numPartitions=2).select(F.lit("p").alias("property_id"), "id").mapInArrow(count, "property_id string, id long")
     sinks.write_snapshot({"mentions": rows}, str(tmp_path / "s"), rows_per_file=30)
     assert sinks.read_snapshot(spark, str(tmp_path / "s"), "mentions").count() == 100 and made.value == 100
+
+
+def test_only_runs_that_name_an_aspect_are_tokenised(spark):
+    aspects = {"Room": ["room", "hot water", "खाना"], "Staff": ["staff", "24x7"]}
+    texts = ["roomy place, staffed. the room's x; Hot  Water or room_1", "room but nice, bad", "nice. but room", "24x7 or खानाx", f"a{tx.CUT}room{tx.TURN}b", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").orderBy("id")
+    norm = tx.normalise(F.col("text"))
+    kept = df.select(F.filter(tx._runs(norm), lambda run: tx._names_any(run, aspects))).collect()
+    assert [None if r[0] is None else len(r[0]) for r in kept] == [2, 1, 1, 1, 1, 0, None]
+    found = df.select(F.transform(tx.aspect_clauses(norm, aspects), lambda c: c["clause"])).collect()
+    assert [r[0] for r in found] == [["hot water", "room_1"], ["room", "nice"], ["room"], ["खानाx"], ["room", "b"], [], None]
+
+
+def test_marks_and_emoji_are_seen_in_any_text(spark):
+    texts = ["ASCII only", "e\u0301te\u0301", "caf\u00e9", "x\U0001f44d", "\u00e9\u2764y", "\u212b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").orderBy("id")
+    got = [tuple(r) for r in df.select(tx.normalise(F.col("text")), tx._beyond_latin(F.col("text"))).collect()]
+    assert got == [("ascii only", False), ("\u00e9t\u00e9", True), ("caf\u00e9", False), ("x good", True), ("\u00e9 good y", True), ("\u00e5", True)]
