@@ -19,16 +19,27 @@ def series_keys(df: DataFrame) -> list[str]:
     return [*scope(df), *SERIES]
 
 
+def _keyed(mentions: DataFrame) -> DataFrame:
+    return mentions.where(F.col("property_id").isNotNull() & F.col("aspect").isNotNull())
+
+
+def _by_review(mentions: DataFrame) -> DataFrame:
+    """Mentions dealt by unit. A unit has few of them, so counting before the shuffle would save
+    little and hold every unit of a scan task, which may be a whole table, in its memory.
+    """
+    return mentions.repartition(*scope(mentions), "review_id", *SERIES)
+
+
 def review_units(mentions: DataFrame) -> DataFrame:
     """One row per (review, aspect): total and count of its clauses, and their mean.
 
     Without ``review_id`` the unit is (property, date, aspect).
     """
-    keyed = mentions.where(F.col("property_id").isNotNull() & F.col("aspect").isNotNull())
+    keyed = _keyed(mentions)
     totals = [F.sum("sentiment").cast("long").alias("total"),
               F.count(F.lit(1)).alias("mentions")]
     if "review_id" in mentions.columns:
-        units = (keyed.where(F.col("review_id").isNotNull())
+        units = (_by_review(keyed.where(F.col("review_id").isNotNull()))
                  .groupBy(*scope(mentions), "review_id", *SERIES)
                  .agg(F.min("date").alias("date"), *totals))
     else:
@@ -88,6 +99,49 @@ def mention_months(mentions: DataFrame) -> DataFrame:
     )
 
 
+def unit_tallies(mentions: DataFrame) -> DataFrame:
+    """Units counted by all that cells and mention-level sums need, in one pass over the mentions.
+
+    ``named`` units have a review; the others are only mentions of one month. ``mixed`` units
+    have mentions of several months (or some undated), so they don't tell each month's sums.
+    """
+    keys = [*scope(mentions), "review_id", *SERIES]
+    dated = _keyed(mentions).withColumn("_month", month_of(F.col("date")))
+    units = (
+        _by_review(dated.withColumn("_own", F.when(F.col("review_id").isNull(), F.col("_month"))))
+        .groupBy(*keys, "_own")
+        .agg(F.min("_month").alias("month"), F.max("_month").alias("_last"),
+             F.count("_month").alias("_dated"), F.sum("sentiment").cast("long").alias("total"),
+             F.count(F.lit(1)).alias("mentions"), F.count("sentiment").alias("rated"),
+             F.count_if(F.col("sentiment") < 0).alias("negative"))
+    )
+    mixed = (F.col("_dated") > 0) & ((F.col("_dated") < F.col("mentions"))
+                                     | (F.col("month") != F.col("_last")))
+    return units.groupBy(
+        *series_keys(mentions), "month", "total", "mentions", "rated", "negative",
+        F.col("review_id").isNotNull().alias("named"), mixed.alias("mixed"),
+    ).agg(F.count(F.lit(1)).alias("r"))
+
+
+def tallied_cells(tallies: DataFrame) -> DataFrame:
+    """``unit_cells`` of the tallied units."""
+    return (
+        tallies.where(F.col("named") & F.col("month").isNotNull())
+        .groupBy(*series_keys(tallies), "month", "total", "mentions")
+        .agg(F.sum("r").alias("r"))
+    )
+
+
+def tallied_months(tallies: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``mention_months`` of the tallied mentions, which are read again only if units are mixed."""
+    if not tallies.where("mixed").isEmpty():
+        return mention_months(mentions)
+    r = F.col("r")
+    return tallies.groupBy(*series_keys(tallies), "month").agg(
+        F.sum(r * F.col("rated")).alias("n"), F.sum(r * F.col("total")).alias("total"),
+        F.sum(r * F.col("negative")).alias("negative"))
+
+
 def aspect_scores(mentions: DataFrame) -> DataFrame:
     """Mention-level mean sentiment and count per (property, aspect)."""
     return (
