@@ -6,12 +6,12 @@ reach the size-derived bound:
 
 1. Rows of overlap enough share one of their first n-grams in any fixed order: of a row of size n, the first
    n - ceil(0.8 n) + 1. Frequent n-grams are put last, by a count sketch of the whole corpus.
-2. Rows that share such an n-gram, with sizes that can link, are in one cluster. A cluster is
-   a block on the diagonal; outside the blocks every entry is below its bound.
-3. The first block of columns is these n-grams: within a cluster (a large one cut in blocks of rows by size and
-   hash) the overlaps in them are accumulated, and pairs that their other n-grams can't bring
-   to the bound of their sizes are discarded. What is left makes much smaller clusters.
-4. The second block is all columns: only the sets of these clusters are brought together whole, overlaps
+2. The first block of columns is these n-grams. A column of few rows is multiplied entry by entry: each two of its
+   rows with sizes that can link are a pair, and a pair's entries are added up.
+3. Rows that share a column of many rows, with sizes that can link, are in one cluster, a block on the diagonal. Within a
+   cluster (a large one cut in blocks of rows by size and hash) overlaps are accumulated over all these columns.
+   Pairs that their other n-grams can't bring to the bound of their sizes are discarded in both.
+4. The second block is all columns: what is still tied makes small clusters, and only their sets are brought together whole; overlaps
    are accumulated, pairs below the bound discarded, and of the links a spanning forest is kept.
 
 Blocks have bounded size; a link is never dropped, only implied by others.
@@ -42,6 +42,8 @@ SLOT_BITS, PART_BITS = 20, 16
 BLOCK_ROWS = 1500
 #: Columns with more rows than this are multiplied as a dense block.
 DENSE_ROWS = 48
+#: First n-grams that more sets than this have among their first are multiplied by clusters, not by pairs: a posting is in fewer pairs than this.
+PAIR_SETS = 64
 #: A null id comes after every other.
 _NULL_ID = (1 << 63) - 1
 
@@ -135,14 +137,41 @@ def can_link(small: Column, large: Column) -> Column:
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """Distinct postings of the n-grams that more than one set has among its first."""
+    """Distinct postings of the n-grams that more than one set has among its first, and how many sets have each (``sets``)."""
     at = Window.partitionBy("token")
     shared = postings.withColumn("shared", F.min("node").over(at) != F.max("node").over(at)).where("shared")
-    return written(shared.select("token", "node", "n").distinct(), "shingle-postings")
+    shared = shared.select("token", "node", "n").distinct().withColumn("sets", F.count(F.lit(1)).over(at))
+    return written(shared, "shingle-postings")
+
+
+def close_sets(shared: DataFrame) -> DataFrame:
+    """(node, root) of the sets that are still tied when overlaps in the first n-grams are known."""
+    frequent = shared.where(F.col("sets") > PAIR_SETS)
+    pairs = close_pairs(shared.where(F.col("sets") <= PAIR_SETS), frequent)
+    return connected(pairs.unionByName(close_in_clusters(shared, clusters(frequent))))
+
+
+def close_pairs(rare: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(a, b) of the sets that share a first n-gram of ``rare`` and that all others could still bring to their bound.
+
+    Of their n-grams in ``frequent`` two sets share at most as many as the one with fewer has.
+    """
+    a, b = (rare.select("token", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    pairs = a.join(b, "token").where(ordered & can_link(F.col("n_a"), F.col("n_b")))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    more = frequent.groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+    for x in "ab":
+        pairs = pairs.join(more.select(F.col("node").alias(x), F.col("more").alias(f"more_{x}")), x, "left")
+    shared = F.col("shared") + F.least(*[F.coalesce(f"more_{x}", F.lit(0)) for x in "ab"])
+    # all n-grams that two sets share up to where the first prefix ends are counted; past it, that set has so many more
+    rest = F.greatest(*[F.col(f"n_{x}") - _prefix_size(F.col(f"n_{x}")) for x in "ab"])
+    most = shared + rest
+    return pairs.where(most * (LINK_OF + LINK) >= (F.col("n_a") + F.col("n_b")) * LINK).select("a", "b")
 
 
 def clusters(shared: DataFrame) -> DataFrame:
-    """(node, root) of the sets that share a first n-gram with a set of a size that can link."""
+    """(node, root) of the sets that share an n-gram of ``shared`` with a set of a size that can link."""
     # along a list in order of size, a gap that can't link starts a new run; a run's members are tied to its first
     by_size = Window.partitionBy("token").orderBy("n", "node")
     before = F.lag("n").over(by_size)
@@ -152,12 +181,12 @@ def clusters(shared: DataFrame) -> DataFrame:
     return connected(runs.select(F.col("node").alias("a"), head.alias("b")))
 
 
-def close_clusters(shared: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(node, root) of the sets that are still tied when overlaps in the first n-grams are known."""
+def close_in_clusters(shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, b) for a forest over the sets of each of the clusters (node, root) that are still tied when overlaps in the first n-grams are known."""
     sizes = shared.groupBy("node").agg(F.first("n").alias("n"))
     placed = written(grouped.join(sizes, "node").select("node", F.col("root").alias("cluster"), "n"), "shingle-clusters")
-    rows = shared.join(_blocks(placed), "node")
-    return connected(rows.groupBy("cell").applyInPandas(_close_in_cell, "a bigint, b bigint"))
+    rows = shared.select("token", "node", "n").join(_blocks(placed), "node")
+    return rows.groupBy("cell").applyInPandas(_close_in_cell, "a bigint, b bigint")
 
 
 def prefix_size(n):
@@ -165,6 +194,10 @@ def prefix_size(n):
     return n + (-LINK * n // LINK_OF) + 1
 
 
+def _prefix_size(n: Column) -> Column:
+    return n - F.ceil(n * LINK / F.lit(float(LINK_OF))).cast("bigint") + 1
+
+
 def _close_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
     """(a, b) for a forest over the pairs of a cell that the other n-grams could still bring to their bound."""
     cell = cell.drop_duplicates(["node", "token"]).sort_values("node", kind="stable")
@@ -276,7 +309,7 @@ def _forest(nodes: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
 def links(texts: DataFrame, measured: DataFrame) -> DataFrame:
     """(a, b): a forest that spans every component of linked sets with two sets or more."""
     shared = shared_postings(_postings(texts, frequency_sketch(measured)))
-    grouped = close_clusters(shared, clusters(shared)).withColumnRenamed("root", "cluster")
+    grouped = close_sets(shared).withColumnRenamed("root", "cluster")
     one_of = measured.where("n_shingles > 0").groupBy(F.col("mark").alias("node")).agg(
         F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"))).alias("one"), F.first("n_shingles").alias("n"))
     placed = written(grouped.join(one_of, "node").select("node", "cluster", "n", "one.text_hash", "one.key"), "shingle-placed")
